@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmix.shared import materialize
+from corpusmix.shared import materialize, ship
 
 
 def _running(weight: str):
@@ -48,6 +48,7 @@ def number_rows(
     The result's rows equal df's, in any order; an empty df gives an empty result. df must have no
     columns named _i, _cum, _pid or like the new ones.
     """
+    ship(df.sparkSession)
     keys = [*[F.col(g) for g in groups], *[F.col(o) if isinstance(o, str) else o for o in order]]
     part = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     if weight:

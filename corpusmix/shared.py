@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package's modules to the executors, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusmix_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="corpusmix-code-")) / "corpusmix.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*")):
+            if p.is_file() and "__pycache__" not in p.parts:
+                z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(str(path))
+    sc._corpusmix_shipped = True
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a parquet table in the shared folder and read it back.
 
