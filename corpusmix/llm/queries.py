@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cutoff", "pack", "mix", "sample", "tokens", "encode", "neardup", "leak")
+MODULES = ("cutoff", "pack", "mix", "sample", "tokens", "encode", "neardup", "leak", "pii")
 
 
 def _all(name: str) -> dict:
