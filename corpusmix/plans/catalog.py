@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("records",)
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _m in MODULES:
+    _module = import_module(f"corpusmix.plans.{_m}")
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
