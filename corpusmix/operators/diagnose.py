@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmix.operators.order import quantiles
 from corpusmix.schema import DOMAIN_NAMES
 
 
@@ -48,15 +49,14 @@ def length_thresholds(df: DataFrame, length: str, thresholds: list[int]) -> Data
 
 def basic(df: DataFrame, by: str = "criterion", x: str = "x") -> DataFrame:
     """n, min, max, mean, population deviation, median and interquartile range."""
-    p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = df.groupBy(by).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), p.alias("_p"))
-    return a.select(by, "n", "min", "max", "mean", "std", F.col("_p")[1].alias("median"), (F.col("_p")[2] - F.col("_p")[0]).alias("iqr"))
+    a = df.groupBy(by).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    a = a.join(quantiles(df, by, x, _lo=0.25, median=0.5, _hi=0.75), by)
+    return a.select(by, "n", "min", "max", "mean", "std", "median", (F.col("_hi") - F.col("_lo")).alias("iqr"))
 
 
 def percentiles(df: DataFrame, by: str = "criterion", x: str = "x", at: tuple[int, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
     """Exact, with linear interpolation."""
-    a = df.groupBy(by).agg(F.percentile(x, F.array(*[F.lit(p / 100) for p in at])).alias("_p"))
-    return a.select(by, *[F.col("_p")[i].alias(f"p{p}") for i, p in enumerate(at)])
+    return quantiles(df, by, x, **{f"p{p}": p / 100 for p in at})
 
 
 def shape(df: DataFrame, by: str = "criterion", x: str = "x") -> DataFrame:
@@ -75,8 +75,8 @@ def buckets(df: DataFrame, by: str = "criterion", x: str = "x") -> DataFrame:
 
 def discrimination(df: DataFrame, by: str = "criterion", x: str = "x") -> DataFrame:
     """Means of the top and bottom tenth, their ratio and spread, and a verdict."""
-    p = df.groupBy(by).agg(F.percentile(x, F.array(F.lit(0.1), F.lit(0.9))).alias("_p"))
-    a = df.join(F.broadcast(p), by).groupBy(by).agg(F.avg(F.when(F.col(x) >= F.col("_p")[1], F.col(x))).alias("top"), F.avg(F.when(F.col(x) <= F.col("_p")[0], F.col(x))).alias("bottom"))
+    p = quantiles(df, by, x, _lo=0.1, _hi=0.9)
+    a = df.join(F.broadcast(p), by).groupBy(by).agg(F.avg(F.when(F.col(x) >= F.col("_hi"), F.col(x))).alias("top"), F.avg(F.when(F.col(x) <= F.col("_lo"), F.col(x))).alias("bottom"))
     ratio = F.when(F.abs("bottom") > 1e-10, F.col("top") / F.col("bottom"))
     a = a.withColumn("ratio", ratio).withColumn("spread", F.col("top") - F.col("bottom"))
     return a.withColumn("verdict", F.when(F.col("ratio").isNull() | (F.col("ratio") > 10), "strong").when(F.col("ratio") > 3, "medium").otherwise("weak"))
