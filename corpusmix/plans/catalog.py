@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("records", "signals", "selection")
+MODULES = ("records", "signals", "selection", "experiments")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
