@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("records", "signals", "selection", "experiments")
+MODULES = ("records", "signals", "selection", "experiments", "validation")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
