@@ -44,18 +44,19 @@ S = "[  ]"
 UP, LO = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 CAP = f"[{UP}][{LO}]+"
 PART = f"(?:(?:{PARTICLES}){S})"
-ANCHORS = re.compile(r"@|[\[({]" + f"{S}?at{S}?" + r"[\])}]|[^\W_]" + f"{S}at{S}" + r"(?=[^\W_][\w.-]*" + f"{S}(?:dot{S}|[" + r"\[({]dot))")
-AT = rf"(?:{S}?@{S}?|{S}?[\[({{]{S}?at{S}?[\])}}]{S}?|{S}at{S})"
-DOT = rf"(?:\.|{S}?[\[({{]{S}?dot{S}?[\])}}]{S}?|{S}dot{S})"
+ANCHORS = re.compile(r"@|[\[({]" + f"{S}?(?i:at){S}?" + r"[\])}]|" + f"{S}(?i:at){S}" + r"(?=[^\W_][\w.-]*" + f"{S}(?:(?i:dot){S}|[" + r"\[({](?i:dot)))")
+AT = rf"(?:{S}?@{S}?|{S}?[\[({{]{S}?(?i:at){S}?[\])}}]{S}?|{S}(?i:at){S})"
+DOT = rf"(?:\.|{S}?[\[({{]{S}?(?i:dot){S}?[\])}}]{S}?|{S}(?i:dot){S})"
 EMAIL = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)({AT})([\w](?:[\w-]*[\w])?(?:{DOT}[\w](?:[\w-]*[\w])?)*{DOT}[^\W\d_]{{2,}})(?![\w@])")
 OPEN = r"(?<![\w.+/-])"
 SHUT = r"(?!\w|[-/]\d|\.\d)"
 PHONES = re.compile(
     rf"{OPEN}(?:(?P<us>(?:\+?1[  .-])?(?:\(\d{{3}}\){S}?|\d{{3}}[  .-])\d{{3}}[  .-]\d{{4}})"
     rf"|(?P<plus>\+\d{{1,3}}(?:{S}?\(0\))?(?:[  ./-]?\(?\d{{1,10}}\)?){{1,6}})"
+    rf"|(?P<city>\(0\)\d{{2,4}}{S}\d{{4,8}})"
     rf"|(?P<zeros>00[1-9]\d{{1,2}}(?:[  ./-]?\(?\d{{2,9}}\)?){{1,5}})"
     rf"|(?P<pairs>0[1-9](?:[  .-]?\d\d){{4}})"
-    rf"|(?P<area>(?:\(0\d{{2,4}}\)|0\d{{2,4}})[  /-]?\d{{3,8}}(?:[  -]\d{{1,6}}){{0,3}})"
+    rf"|(?P<area>(?:\(0[1-9]\d{{1,3}}\)|0[1-9]\d{{1,3}})[  /-]?\d{{3,8}}(?:[  -]\d{{1,6}}){{0,3}})"
     rf"|(?P<nine>[6-9]\d\d(?:{S}\d{{3}}{S}\d{{3}}|{S}\d\d{S}\d\d{S}\d\d)))" + SHUT
 )
 IDS = re.compile(
@@ -72,11 +73,14 @@ ADDRESSES = re.compile(
     rf"|(?P<rue>\d{{1,4}}[a-zA-Z]?(?:{S}(?:bis|ter))?,?{S}(?:{RUES}){S}(?:(?:de{S}la|du|des|de|aux?){S}|de{S}l'|d')?{CAP}(?:[ -]{CAP})?{FLAT}?)"
     rf"|(?P<calle>(?:{CALLES}){S}(?:(?:de{S}la|de{S}los|de{S}las|del|de){S})?{CAP}(?:{S}{CAP})?(?:,|,?{S}n\.º|,?{S}nº|,?{S}núm\.)?{S}{HOUSE}(?!\w){FLAT}?)"
     rf"|(?P<platz>{CAP}(?:-{CAP})*{S}(?:Platz|Straße|Strasse|Str\.|Allee|Weg|Gasse|Ring|Damm|Ufer|Markt|Chaussee|Graben){S}\d{{1,4}}{S}?[a-zA-Z]?(?!\w){FLAT}?)"
-    rf"|(?P<am>(?:Am|An{S}der|Auf{S}dem|Im|In{S}der|Zum|Zur){S}{CAP}{S}\d{{1,4}}{S}?[a-zA-Z]?(?!\w){FLAT}?))"
+    rf"|(?P<am>(?:Am|An{S}der|Auf{S}dem|Im|In{S}der|Zum|Zur){S}{CAP}{S}\d{{1,3}}{S}?[a-zA-Z]?(?!\w){FLAT}?))"
 )
-GERMAN = re.compile(rf"(?<=[{LO}])(?:{GERMAN_ENDS}){S}\d{{1,4}}{S}?[a-zA-Z]?(?!\w){FLAT}?")
+GERMAN = re.compile(rf"{S}(?<=[{LO}.]{S})\d{{1,4}}(?!\d){S}?[a-zA-Z]?(?!\w){FLAT}?")
+GERMAN_TAILS = tuple(GERMAN_ENDS.replace("\\", "").split("|"))
+PARTICLES_LEFT = re.compile(rf"(?<![^\W_]){PART}+\Z")
 RIGHT_LAST, RIGHT_FIRST = re.compile(r"([^\W_]+)[ \xa0]+\Z"), re.compile(r"\A[ \xa0]+([^\W_]+)")
-WORD_LEFT = re.compile(r"[^\W\d_]+\Z")
+WORD_LEFT = re.compile(r"[^\W\d_]+\.?\Z")
+GERMAN_ALONE = re.compile(GERMAN_ENDS, re.I)
 ID_LABEL = re.compile(rf"(?<![^\W_])(?:{ID_LABELS})", re.I)
 OTHER_LABEL = re.compile(rf"(?<![^\W_])(?:{OTHER_LABELS})", re.I)
 LEFT = re.compile(r"[^\W_]+|[^\w\s]")
@@ -110,7 +114,7 @@ class Lexicon:
         first, bigfirst = rf"{CAP}(?:-{CAP})?", rf"[{UP}]{{2,}}(?:-[{UP}]{{2,}})?"
         middle = rf"(?:[{UP}]\.{S}){{0,2}}"
         self.forward = re.compile(rf"(?<![\w@.+-])({first}){S}({middle})({PART}*)({fam})(?!-\w|@|\.\w)")
-        self.backward = re.compile(rf"(?<![\w@.+-])({PART}*)({fam})(,?){S}({first})({S}[{UP}]\.)?(?![\w@-])")
+        self.backward = re.compile(rf"(?<![\w@.+-])({fam})(,?){S}({first})({S}[{UP}]\.)?(?![\w@-])")
         self.capitals = re.compile(rf"(?<![\w@.+-])({bigfirst}){S}({middle})((?:(?:{PARTICLES}|{PARTICLES.upper()}){S})*)({bigfam})(?!-\w|@|\.\w)")
         self.inverted = re.compile(rf"(?<![\w@.+-])({bigfam})(,?){S}({bigfirst})(?![\w@-])")
 
@@ -171,17 +175,19 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
             named = any(p in lexicon.given or p in lexicon.family or lexicon.stem(p) for p in low if len(p) > 2)
             plain = local.isalpha()
             more = [f"named={named}", f"plain={plain}{sign}", f"local={local.lower() if plain else '#'}", f"tld={re.split(r'[^a-z]+', domain.lower())[-1]}"]
-            add(m.start(), m.end(), "email", sign + ("dot" if "dot" in domain and "." not in domain else ""), *more)
+            add(m.start(), m.end(), "email", sign + ("dot" if "dot" in domain.lower() and "." not in domain else ""), *more)
     for m in PHONES.finditer(text):
-        s = m.start()
-        value = m.group()
+        s, e = m.span()
+        # A bracket around the whole number isn't part of it.
+        e -= text.count(")", s, e) == text.count("(", s, e) + 1 and text[e - 1] == ")"
+        value = text[s:e]
         digits = sum(c.isdigit() for c in value)
         shape = re.sub(r"\d", "9", value)
         if not 8 <= digits <= 15:
             continue
         if value.count("(") != value.count(")"):
             continue
-        add(s, m.end(), "phone", m.lastgroup or "", f"shape={shape if len(shape) < 24 else 'long'}", f"digits={digits}")
+        add(s, e, "phone", m.lastgroup or "", f"shape={shape if len(shape) < 24 else 'long'}", f"digits={digits}")
     for m in IDS.finditer(text):
         value = m.group()
         shape = re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", value))
@@ -195,8 +201,10 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
         second = value.replace("\xa0", " ").split(" ")[1:2]
         add(m.start(), m.end(), "address", m.lastgroup or "", f"{m.lastgroup}={max(map(len, re.findall(r'[0-9]+', value)))}", f"{m.lastgroup}:{second[0].lower() if m.lastgroup == 'am' and second else ''}")
     for m in GERMAN.finditer(text):
+        if not text.endswith(GERMAN_TAILS, max(0, m.start() - 8), m.start()):
+            continue
         w = WORD_LEFT.search(text, max(0, m.start() - 40), m.start())
-        if w and text[w.start()].isupper():
+        if w and text[w.start()].isupper() and not GERMAN_ALONE.fullmatch(w.group()):
             add(w.start(), m.end(), "address", "german")
             before = re.search(rf"(?:Am|An{S}der|Im|Zum|Zur){S}\Z", text[max(0, w.start() - 8) : w.start()])
             if before:
@@ -209,9 +217,10 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
             add(m.start(), m.end(), "name", form, *more)
     for rx, form in ((lexicon.backward, "backward"), (lexicon.inverted, "inverted")):
         for m in rx.finditer(text):
-            fam, comma, given = (m.group(2), m.group(3), m.group(4)) if form == "backward" else m.groups()
+            fam, comma, given = m.groups()[:3]
+            before = PARTICLES_LEFT.search(text, max(0, m.start() - 24), m.start())
             more = [*lexicon.given_features(given, form + "given"), *lexicon.family_features(fam, "family"), f"comma={bool(comma)}", f"parts={fam.count('-')}"]
-            add(m.start(), m.end(), "name", form, *more)
+            add(before.start() if before else m.start(), m.end(), "name", form, *more)
     return out
 
 

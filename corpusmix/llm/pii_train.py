@@ -17,13 +17,14 @@ from pathlib import Path
 
 from corpusmix.llm.pii import WEIGHTS, Lexicon, Segment, log_add, segments
 
-SEED, SENTENCES, ROUNDS, RATE, DECAY = 9, 6000, 6, 0.2, 1e-3
-TRIALS = 1000
+SEED, SENTENCES, ROUNDS, RATE, DECAY = 9, 20000, 5, 0.2, 1e-3
+TRIALS = 4000
 
 GIVEN = "Petra Idris Dmitri Felix Marta Kofi Luka Lucia Dawn Anneke Beatriz Ilse Tobias Bruno Hugo Rose Oskar Zofia Freya Soraya Emil Anna Peter Omar Leila Karl Nina Ivan Olga Maria José Anton Clara Simon Julia Martin Laura Paul Eva Hana Yusuf Priya Chen Diego Sofia Lars Björn Åsa Émile Zoë Joan Max Art Hope Faith Summer Rob Bill Pat".split()
 LISTED = "Elena Mark Will Grace June Chase Frank Jonas Viktor Marcel Rafael Carla Nadia Yasmin Milan Oleg".split()
 STEMS = "Bor Kel Fen Jax Lun Mar Quo Ran Sel Tal Vor Xa Zim Hul Gor Nar Pel Dra Glat Krim Stol Wend Yl Tor".split()
 MIDDLES = "ba ri lo ne ma vi do fu ka to be mi za".split()
+RARE, NEW_STEMS = "ge sti ru hal pen wor ni se".split(), "Cas Ulb Pon".split()
 ENDINGS = "etti wick sen osz ez ova mann ström kin ard eau ides".split()
 PLACES = "Lodrany Markelum Quorial Talbery Venosta Xanaring Zimlor Hulbay Norvel Dunbrook Fenway Glenmore Arcadel".split()
 WORDS = "the quiet village covers a ratio while every nurse reads about the northern delta and its recipe before anyone asks for more oil or bread in this part of town".split()
@@ -38,6 +39,8 @@ class Maker:
         self.families = sorted({s + (self.r.choice(MIDDLES) if self.r.random() < 0.8 else "") + e for s in STEMS for e in ENDINGS for _ in range(2)})
         self.r.shuffle(self.families)
         self.known = self.families[: len(self.families) // 3]
+        # Names met later also have stems that begin or end as none of the listed ones does.
+        self.families += [s + m + self.r.choice(ENDINGS) for s in STEMS for m in RARE] + [s + self.r.choice(MIDDLES) + e for s in NEW_STEMS for e in ENDINGS]
         self.lexicon = Lexicon([("given", g) for g in LISTED] + [("family", f) for f in self.known])
 
     def d(self, shape: str) -> str:
@@ -123,7 +126,7 @@ class Maker:
             lambda: f"Order {d('999-9999-99')} shipped with {self.place()}.", lambda: f"Ticket no. {d('9999-99-999')} was closed.", lambda: f"doi {d('10.9999/999.99')}", lambda: f"Version {d('10.9.9.99')} replaces {d('10.9.9')}", lambda: f"ISBN {d('978-0-00-99999-')}X",
             lambda: f"step {d('00999/09999')} ({d('9.99')}%) | loss: {d('9.999999')} | tok/sec: {d('999,999')} | dt: {d('999.99')}ms", lambda: f"Room {d('999')}, corridor {d('99')}", lambda: f"{r.choice(['Main', 'Wall', 'High', 'Market'])} Street {self.words(3)}.", lambda: f"The Lane Review of {d('1999')}",
             lambda: f"{r.choice(LOOSE)} at {r.choice(PLACES).lower()} dot com {self.words(2)}", lambda: f"error at build@{d('360')}, see log", lambda: f"pip install {self.words(1)}@{d('9.99')}", lambda: f"Follow @{r.choice(PLACES).lower()} for more.", lambda: f"Between {d('19')}05 and 1{d('9')}03 {self.words(3)}",
-            lambda: f"{d('9999-99-99')} {d('99:99:99')} {d('999.999')}", lambda: f"Past {self.place()} The Road Meets A {self.words(1)}", lambda: f"In {d('1999')} {self.place()} {self.words(3)}", lambda: f"order number {self.id()} {self.words(2)}", lambda: f"SKU {self.id()} is sold out.", lambda: f"The {self.place()} {r.choice(COMMON)}", lambda: f"{self.words(2).upper()} {self.place().upper()} {r.choice(COMMON).upper()} {self.words(3).upper()}", lambda: f"{r.choice(['Im Jahr', 'Am Montag', 'Im Kapitel', 'Im Mai', 'Zum Preis', 'Im Abschnitt', 'Im Winter'])} {r.choice([d('1999'), d('1999'), d('99')])} kam eine {r.choice(WORDS)}", lambda: f"tracking code {d('AA9999999')}", lambda: f"{d('999 999 999')} tokens",
+            lambda: f"{d('9999-99-99')} {d('99:99:99')} {d('999.999')}", lambda: f"Past {self.place()} The Road Meets A {self.words(1)}", lambda: f"In {d('1999')} {self.place()} {self.words(3)}", lambda: f"order number {self.id()} {self.words(2)}", lambda: f"SKU {self.id()} is sold out.", lambda: f"The {self.place()} {r.choice(COMMON)}", lambda: f"{self.words(2).upper()} {self.place().upper()} {r.choice(COMMON).upper()} {self.words(3).upper()}", lambda: f"{r.choice(['Im Jahr', 'Am Montag', 'Im Kapitel', 'Im Mai', 'Zum Preis', 'Im Abschnitt', 'Im Winter'])} {r.choice([d('1999'), d('1999'), d('99')])} {r.choice(['kam eine', 'Kam Eine', 'stand ein'])} {r.choice(WORDS)}", lambda: f"tracking code {d('AA9999999')}", lambda: f"{d('999 999 999')} tokens",
             lambda: f"{self.family()} {self.words(3)}", lambda: f"The {self.place()} {self.place()} {self.words(2)}", lambda: f"Mrs {self.family()} {self.words(2)}", lambda: f"{self.words(2).title()} {self.place()} {self.words(2).title()}",
         ])()
 
