@@ -44,14 +44,16 @@ S = "[  ]"
 UP, LO = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 CAP = f"[{UP}][{LO}]+"
 PART = f"(?:(?:{PARTICLES}){S})"
-ANCHORS = re.compile(r"@|[\[({]" + f"{S}?(?i:at){S}?" + r"[\])}]|" + f"{S}(?i:at){S}" + r"(?=[^\W_][\w.-]*" + f"{S}(?:(?i:dot){S}|[" + r"\[({](?i:dot)))")
+# Patterns that every text is searched for begin with a class of characters, which the search can skip by.
+ANCHORS = re.compile(rf"[@\[({{  ](?:(?<=@)|(?<=[\[({{]){S}?(?i:at){S}?[\])}}]|(?<={S})(?i:at){S}(?=[^\W_][\w.-]*{S}(?:(?i:dot){S}|[\[({{](?i:dot))))")
 AT = rf"(?:{S}?@{S}?|{S}?[\[({{]{S}?(?i:at){S}?[\])}}]{S}?|{S}(?i:at){S})"
 DOT = rf"(?:\.|{S}?[\[({{]{S}?(?i:dot){S}?[\])}}]{S}?|{S}(?i:dot){S})"
 EMAIL = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)({AT})([\w](?:[\w-]*[\w])?(?:{DOT}[\w](?:[\w-]*[\w])?)*{DOT}[^\W\d_]{{2,}})(?![\w@])")
-OPEN = r"(?<![\w.+/-])"
 SHUT = r"(?!\w|[-/]\d|\.\d)"
+#: Where a number, or one behind up to two capitals, may begin; plain decimals and grouped thousands are none.
+STARTS = re.compile(r"[+(\dA-Z](?<![\w.+/-](?s:.))(?:(?<=[+(\d])(?!\d*\.\d+(?![\d.])|\d{0,2},\d)|(?<=[A-Z])(?=[A-Z]?[  ]?-?\d))")
 PHONES = re.compile(
-    rf"{OPEN}(?:(?P<us>(?:\+?1[  .-])?(?:\(\d{{3}}\){S}?|\d{{3}}[  .-])\d{{3}}[  .-]\d{{4}})"
+    rf"(?:(?P<us>(?:\+?1[  .-])?(?:\(\d{{3}}\){S}?|\d{{3}}[  .-])\d{{3}}[  .-]\d{{4}})"
     rf"|(?P<plus>\+\d{{1,3}}(?:{S}?\(0\))?(?:[  ./-]?\(?\d{{1,10}}\)?){{1,6}})"
     rf"|(?P<city>\(0\)\d{{2,4}}{S}\d{{4,8}})"
     rf"|(?P<zeros>00[1-9]\d{{1,2}}(?:[  ./-]?\(?\d{{2,9}}\)?){{1,5}})"
@@ -60,7 +62,7 @@ PHONES = re.compile(
     rf"|(?P<nine>[6-9]\d\d(?:{S}\d{{3}}{S}\d{{3}}|{S}\d\d{S}\d\d{S}\d\d)))" + SHUT
 )
 IDS = re.compile(
-    rf"{OPEN}(?:(?P<ssn>\d{{3}}[-  ]\d\d[-  ]\d{{4}})"
+    rf"(?:(?P<ssn>\d{{3}}[-  ]\d\d[-  ]\d{{4}})"
     rf"|(?P<nino>[A-Z]{{2}}{S}?\d\d{S}?\d\d{S}?\d\d{S}?[A-Z])"
     rf"|(?P<dni>\d{{8}}-?[A-Z]|\d\d\.\d{{3}}\.\d{{3}}-?[A-Z])|(?P<nie>[XYZ]-?\d{{7}}-?[A-Z])"
     rf"|(?P<nir>[12]{S}?\d\d{S}?\d\d{S}?\d\d{S}?\d{{3}}{S}?\d{{3}}(?:{S}?\d\d)?)"
@@ -68,21 +70,22 @@ IDS = re.compile(
 )
 FLAT = rf"(?:,?{S}(?:{FLATS}){S}?\d+{S}?[A-Za-z]?(?![\w]))"
 HOUSE = rf"\d{{1,4}}{S}?[a-zA-Z]?(?:{S}(?:bis|ter))?"
-ADDRESSES = re.compile(
-    rf"(?<![\w./-])(?:(?P<street>\d{{1,4}}[a-zA-Z]?{S}(?:(?:{BEFORE_STREET}){S})?{CAP}(?:{S}{CAP})?{S}(?:{STREETS})(?!\w){FLAT}?)"
+NUMBERED = re.compile(
+    rf"(?P<street>\d{{1,4}}[a-zA-Z]?{S}(?:(?:{BEFORE_STREET}){S})?{CAP}(?:{S}{CAP})?{S}(?:{STREETS})(?!\w){FLAT}?)"
     rf"|(?P<rue>\d{{1,4}}[a-zA-Z]?(?:{S}(?:bis|ter))?,?{S}(?:{RUES}){S}(?:(?:de{S}la|du|des|de|aux?){S}|de{S}l'|d')?{CAP}(?:[ -]{CAP})?{FLAT}?)"
-    rf"|(?P<calle>(?:{CALLES}){S}(?:(?:de{S}la|de{S}los|de{S}las|del|de){S})?{CAP}(?:{S}{CAP})?(?:,|,?{S}n\.º|,?{S}nº|,?{S}núm\.)?{S}{HOUSE}(?!\w){FLAT}?)"
-    rf"|(?P<platz>{CAP}(?:-{CAP})*{S}(?:Platz|Straße|Strasse|Str\.|Allee|Weg|Gasse|Ring|Damm|Ufer|Markt|Chaussee|Graben){S}\d{{1,4}}{S}?[a-zA-Z]?(?!\w){FLAT}?)"
-    rf"|(?P<am>(?:Am|An{S}der|Auf{S}dem|Im|In{S}der|Zum|Zur){S}{CAP}{S}\d{{1,3}}{S}?[a-zA-Z]?(?!\w){FLAT}?))"
 )
+NAMED = re.compile(rf"(?:{CALLES}){S}(?:(?:de{S}la|de{S}los|de{S}las|del|de){S})?{CAP}(?:{S}{CAP})?(?:,|,?{S}n\.º|,?{S}nº|,?{S}núm\.)?{S}{HOUSE}(?!\w){FLAT}?")
+AT_THE = ("Am", "An der", "Auf dem", "Im", "In der", "Zum", "Zur")
+CAP_LEFT = re.compile(rf"{CAP}(?:-{CAP})*{S}\Z")
 GERMAN = re.compile(rf"{S}(?<=[{LO}.]{S})\d{{1,4}}(?!\d){S}?[a-zA-Z]?(?!\w){FLAT}?")
-GERMAN_TAILS = tuple(GERMAN_ENDS.replace("\\", "").split("|"))
+GERMAN_TAILS = tuple(x for t in GERMAN_ENDS.replace("\\", "").split("|") for x in (t, t.capitalize())) + ("Markt", "Chaussee")
 PARTICLES_LEFT = re.compile(rf"(?<![^\W_]){PART}+\Z")
 RIGHT_LAST, RIGHT_FIRST = re.compile(r"([^\W_]+)[ \xa0]+\Z"), re.compile(r"\A[ \xa0]+([^\W_]+)")
 WORD_LEFT = re.compile(r"[^\W\d_]+\.?\Z")
-GERMAN_ALONE = re.compile(GERMAN_ENDS, re.I)
+GERMAN_ALONE = re.compile(GERMAN_ENDS + "|markt|chaussee", re.I)
 ID_LABEL = re.compile(rf"(?<![^\W_])(?:{ID_LABELS})", re.I)
 OTHER_LABEL = re.compile(rf"(?<![^\W_])(?:{OTHER_LABELS})", re.I)
+DIGIT, DIGITS, CAPITAL = re.compile(r"\d"), re.compile(r"\d+"), re.compile("[A-Z]")
 LEFT = re.compile(r"[^\W_]+|[^\w\s]")
 
 
@@ -111,12 +114,15 @@ class Lexicon:
         one = rf"(?:{one}|(?:{whole})(?!\w))" if whole else one
         big = rf"[{UP}]+(?:{tail.upper()})(?!\w)"
         fam, bigfam = rf"{one}(?:-{one})?", rf"{big}(?:-{big})?"
-        first, bigfirst = rf"{CAP}(?:-{CAP})?", rf"[{UP}]{{2,}}(?:-[{UP}]{{2,}})?"
+        shut = r"(?<![\w@.+-](?s:.))"  # what stands before the first letter, asked once that is there
+        first, bigfirst = rf"[{UP}]{shut}[{LO}]+(?:-{CAP})?", rf"[{UP}]{shut}[{UP}]+(?:-[{UP}]{{2,}})?"
         middle = rf"(?:[{UP}]\.{S}){{0,2}}"
-        self.forward = re.compile(rf"(?<![\w@.+-])({first}){S}({middle})({PART}*)({fam})(?!-\w|@|\.\w)")
-        self.backward = re.compile(rf"(?<![\w@.+-])({fam})(,?){S}({first})({S}[{UP}]\.)?(?![\w@-])")
-        self.capitals = re.compile(rf"(?<![\w@.+-])({bigfirst}){S}({middle})((?:(?:{PARTICLES}|{PARTICLES.upper()}){S})*)({bigfam})(?!-\w|@|\.\w)")
-        self.inverted = re.compile(rf"(?<![\w@.+-])({bigfam})(,?){S}({bigfirst})(?![\w@-])")
+        start = lambda f: f.replace(f"[{UP}]", f"[{UP}]{shut}", 1)
+        plain, bigplain = rf"{CAP}(?:-{CAP})?", rf"[{UP}]{{2,}}(?:-[{UP}]{{2,}})?"
+        self.forward = re.compile(rf"({first}){S}({middle})({PART}*)({fam})(?!-\w|@|\.\w)")
+        self.backward = re.compile(rf"({start(fam)})(,?){S}({plain})({S}[{UP}]\.)?(?![\w@-])")
+        self.capitals = re.compile(rf"({bigfirst}){S}({middle})((?:(?:{PARTICLES}|{PARTICLES.upper()}){S})*)({bigfam})(?!-\w|@|\.\w)")
+        self.inverted = re.compile(rf"({start(bigfam)})(,?){S}({bigplain})(?![\w@-])")
 
     def stem(self, name: str) -> str:
         return next((name[: -len(e)] for e in self.ends if name.endswith(e) and len(name) > len(e) + 1), "")
@@ -176,39 +182,51 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
             plain = local.isalpha()
             more = [f"named={named}", f"plain={plain}{sign}", f"local={local.lower() if plain else '#'}", f"tld={re.split(r'[^a-z]+', domain.lower())[-1]}"]
             add(m.start(), m.end(), "email", sign + ("dot" if "dot" in domain.lower() and "." not in domain else ""), *more)
-    for m in PHONES.finditer(text):
-        s, e = m.span()
-        # A bracket around the whole number isn't part of it.
-        e -= text.count(")", s, e) == text.count("(", s, e) + 1 and text[e - 1] == ")"
-        value = text[s:e]
-        digits = sum(c.isdigit() for c in value)
-        shape = re.sub(r"\d", "9", value)
-        if not 8 <= digits <= 15:
-            continue
-        if value.count("(") != value.count(")"):
-            continue
-        add(s, e, "phone", m.lastgroup or "", f"shape={shape if len(shape) < 24 else 'long'}", f"digits={digits}")
-    for m in IDS.finditer(text):
-        value = m.group()
-        shape = re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", value))
-        # The label nearest to the number says what it numbers.
-        near = text[max(0, m.start() - 40) : m.start()].rpartition("\n")[2]
-        last = max([(x.start(), 1) for x in ID_LABEL.finditer(near)] + [(x.start(), -1) for x in OTHER_LABEL.finditer(near)], default=(0, 0))
-        label = {1: "own", -1: "other", 0: "none"}[last[1]]
-        add(m.start(), m.end(), "id", m.lastgroup or "", f"shape={shape}", f"label={label}", f"label={label}:{m.lastgroup}")
-    for m in ADDRESSES.finditer(text):
-        value = m.group()
-        second = value.replace("\xa0", " ").split(" ")[1:2]
-        add(m.start(), m.end(), "address", m.lastgroup or "", f"{m.lastgroup}={max(map(len, re.findall(r'[0-9]+', value)))}", f"{m.lastgroup}:{second[0].lower() if m.lastgroup == 'am' and second else ''}")
+    phones = ids = streets = 0  # where the last one of each ends
+    for a in STARTS.finditer(text):
+        s = a.start()
+        first = text[s]
+        if s >= phones and not first.isalpha() and (m := PHONES.match(text, s)):
+            e = phones = m.end()
+            # A bracket around the whole number isn't part of it.
+            e -= text.count(")", s, e) == text.count("(", s, e) + 1 and text[e - 1] == ")"
+            value = text[s:e]
+            digits = sum(map(str.isdigit, value))
+            if 8 <= digits <= 15 and value.count("(") == value.count(")"):
+                shape = DIGIT.sub("9", value)
+                add(s, e, "phone", m.lastgroup or "", f"shape={shape if len(shape) < 24 else 'long'}", f"digits={digits}")
+        if s >= ids and first not in "+(" and (m := IDS.match(text, s)):
+            ids = m.end()
+            shape = CAPITAL.sub("A", DIGIT.sub("9", m.group()))
+            # The label nearest to the number says what it numbers.
+            near = text[max(0, s - 40) : s].rpartition("\n")[2]
+            last = max([(x.start(), 1) for x in ID_LABEL.finditer(near)] + [(x.start(), -1) for x in OTHER_LABEL.finditer(near)], default=(0, 0))
+            label = {1: "own", -1: "other", 0: "none"}[last[1]]
+            add(s, ids, "id", m.lastgroup or "", f"shape={shape}", f"label={label}", f"label={label}:{m.lastgroup}")
+        if s >= streets and first.isdigit() and (m := NUMBERED.match(text, s)):
+            streets = m.end()
+            add(s, streets, "address", m.lastgroup or "", f"number={len(DIGITS.match(m.group()).group())}")
+    for m in NAMED.finditer(text):
+        s = m.start()
+        if not s or not (text[s - 1].isalnum() or text[s - 1] in "_./-"):
+            add(s, m.end(), "address", "calle")
     for m in GERMAN.finditer(text):
-        if not text.endswith(GERMAN_TAILS, max(0, m.start() - 8), m.start()):
-            continue
-        w = WORD_LEFT.search(text, max(0, m.start() - 40), m.start())
-        if w and text[w.start()].isupper() and not GERMAN_ALONE.fullmatch(w.group()):
-            add(w.start(), m.end(), "address", "german")
-            before = re.search(rf"(?:Am|An{S}der|Im|Zum|Zur){S}\Z", text[max(0, w.start() - 8) : w.start()])
-            if before:
-                add(w.start() - len(before.group()), m.end(), "address", "am")
+        s, e = m.span()
+        if text.endswith(GERMAN_TAILS, max(0, s - 8), s):
+            w = WORD_LEFT.search(text, max(0, s - 40), s)
+            if not w or not text[w.start()].isupper():
+                continue
+            if GERMAN_ALONE.fullmatch(w.group()):
+                c = CAP_LEFT.search(text, max(0, w.start() - 40), w.start())
+                if c:
+                    add(c.start(), e, "address", "platz")
+                continue
+            add(w.start(), e, "address", "german")
+        at = text.rfind(" ", max(0, s - 32), s)
+        if at > 0 and e - s < 6 and text[at + 1].isupper() and text.endswith(AT_THE, max(0, at - 7), at):
+            prep = next(x for x in AT_THE if text.endswith(x, 0, at))
+            if at == len(prep) or not text[at - len(prep) - 1].isalnum():
+                add(at - len(prep), e, "address", "am", f"am:{text[at + 1 : s].lower()}")
     for rx, form in ((lexicon.forward, "forward"), (lexicon.capitals, "capitals")):
         for m in rx.finditer(text):
             given, initial, particle, fam = m.groups()
