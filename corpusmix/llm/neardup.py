@@ -293,8 +293,8 @@ class NearDuplicates:
         two = self.copies.select(F.col("rep").alias("b"), F.col("row_id").alias("_rb"))
         wide = self.pairs.select("a", "b").join(one, "a", "left").join(two, "b", "left").select(F.coalesce("_ra", "a").alias("x"), F.coalesce("_rb", "b").alias("y"))
         same = one.join(two, (F.col("a") == F.col("b")) & (F.col("_ra") < F.col("_rb"))).select(F.col("_ra").alias("x"), F.col("_rb").alias("y"))
-        both = wide.unionByName(same)
-        return both.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
+        both = wide.unionByName(same).where("x <> y")
+        return both.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")).distinct()
 
     def groups(self) -> DataFrame:
         """row_id, group_id, links: the least row_id reachable over similar pairs, and the number of similar
@@ -320,16 +320,16 @@ class NearDuplicates:
 
 
 def near_duplicates(records: DataFrame, threshold: float = THRESHOLD, run: int = RUN, least_words: int = LEAST_WORDS) -> NearDuplicates:
-    """Similar pairs among records (row_id: unique, not null; text).
+    """Similar pairs among records (row_id: unique; text).
 
-    Texts of fewer than least_words words, or too few for one run, null and empty ones among them,
+    Rows without a row_id are left out; of rows that repeat as a whole the pairs come out once. Texts of fewer than least_words words, or too few for one run, null and empty ones among them,
     belong to no pair. Shingles are compared by 32 bits of their hashes; two different ones of a pair
     agree by chance in 5 pairs of a million texts of 150 words. Other columns are ignored; empty
     tables give no rows. threshold: above 0, up to 1.
     """
     spark = records.sparkSession
     ship(spark)
-    texts = records.select("row_id", F.expr("make_valid_utf8(text)").alias("_text")).where("_text is not null")
+    texts = records.select("row_id", F.expr("make_valid_utf8(text)").alias("_text")).where("row_id is not null and _text is not null")
     sets = materialize(texts.mapInArrow(_sets(run, least_words), "row_id bigint, n int, same bigint, shingles binary"), "sets")
     many = sets.groupBy("same").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
     copies = materialize(sets.select("row_id", "same").join(many, "same").select("row_id", "rep"), "copies")
