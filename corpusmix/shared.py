@@ -7,6 +7,7 @@ never a recomputation that could choose other range bounds or another row order.
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -28,18 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    if not _written:
+        atexit.register(_sweep)
+    _written.append((spark, path))
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's modules to the executors, once for each Spark context."""
+    """Put the package's modules into the shared folder and name them to the executors, once for each Spark context."""
     sc = spark.sparkContext
     if getattr(sc, "_corpusmix_shipped", False):
         return
     home = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="corpusmix-code-")) / "corpusmix.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(home.rglob("*")):
             if p.is_file() and "__pycache__" not in p.parts:
                 z.write(p, p.relative_to(home.parent))
-    sc.addPyFile(str(path))
+    path = f"{shared_dir(spark)}/corpusmix-{uuid.uuid4().hex}.zip"
+    p, fs = _files(spark, path)
+    out = fs.create(p)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    _remember(spark, path)
+    sc.addPyFile(path)
     sc._corpusmix_shipped = True
 
 
@@ -51,16 +69,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(_sweep)
-    _written.append((spark, path))
+    _remember(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _sweep() -> None:
     for spark, path in _written:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            p, fs = _files(spark, path)
+            fs.delete(p, True)
         except Exception:  # the session is gone
             return
