@@ -77,21 +77,37 @@ def _sets(run: int, least: int):
             n = np.bincount(rec, minlength=len(lists))
             ends = np.cumsum(n)
             keep = np.flatnonzero(n)
-            sets = [sh[ends[i] - n[i] : ends[i]] for i in keep]
+            data = memoryview(sh).cast("B")
+            same = [xxhash.xxh64_intdigest(data[4 * (ends[i] - n[i]) : 4 * ends[i]]) - (1 << 63) for i in keep]
             # Sorted sets are stored as differences, whose high bytes compress away.
-            stored = [s[np.argsort(s)] for s in sets]
-            packed = [np.diff(s, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for s in stored]
-            same = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in stored]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(n[keep], pa.int32()), pa.array(same, pa.int64()), pa.array(packed, pa.binary())], ["row_id", "n", "same", "shingles"])
+            diff = np.diff(sh, prepend=np.uint32(0))
+            first = ends[keep] - n[keep]
+            diff[first] = sh[first]
+            sets = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.r_[0, 4 * ends[keep]].astype(np.int32)), pa.py_buffer(diff)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(n[keep], pa.int32()), pa.array(same, pa.int64()), sets], ["row_id", "n", "same", "shingles"])
 
     return make
 
 
 def _unset(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of a batch in one array, and where each set starts."""
-    sets = [np.cumsum(np.ascontiguousarray(np.frombuffer(x.as_py(), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32) for x in column]
-    starts = np.cumsum([0, *map(len, sets)])
-    return (np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint32)), starts
+    if not len(column):
+        return np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+    wide = pa.types.is_large_binary(column.type)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    diff = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(np.uint32)
+    starts = (ends - ends[0]) // 4
+    total = np.cumsum(diff, dtype=np.uint64)
+    before = np.r_[np.uint64(0), total][starts[:-1]]
+    return (total - np.repeat(before, np.diff(starts))).astype(np.uint32), starts
+
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """Other 32-bit numbers, each for one: equal ones stay equal, different ones different."""
+    x = x * np.uint32(0x9E3779B1)
+    x = x ^ (x >> np.uint32(15))
+    x = x * np.uint32(0x85EBCA77)
+    return x ^ (x >> np.uint32(13))
 
 
 def _cell(shingles: np.ndarray) -> np.ndarray:
@@ -121,11 +137,12 @@ def _postings(levels, groups: int, threshold: float):
             sh, starts = _unset(b.column(2))
             n = np.diff(starts)
             rows = b.column(0).to_numpy()
-            of = np.repeat(np.arange(len(n)), n)
-            lv = level[_cell(sh)]
-            mixed = mix64(sh.astype(np.uint64)) >> np.uint64(32)
-            order = np.lexsort((mixed, lv, of))
-            sh, lv = sh[order], lv[order]
+            # One number for record, level and shingle: sorting it orders each set, and keeps all three.
+            key = np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(40), n)
+            key |= level[_cell(sh)].astype(np.uint64) << np.uint64(32)
+            key |= mix32(sh)
+            key.sort()
+            sh, lv, of = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8), (key >> np.uint64(40)).astype(np.int64)
             place = segments(np.zeros(len(n), dtype=np.int64), n)
             # A partner has at least threshold * n shingles in common.
             first = np.minimum(n, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + MATCHES)
