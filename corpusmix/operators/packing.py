@@ -89,3 +89,11 @@ def best_fit(docs: DataFrame, key: str, length: str, readers: int, size: int, bu
     return n.groupBy("reader", "stretch").applyInArrow(pack, f"_key {kind}, reader int, stretch bigint, row bigint, used bigint").withColumnRenamed("_key", key)
 
 
+
+
+def decode_rows(laid: DataFrame, begin: str = "<begin>") -> DataFrame:
+    """row, part, tokens, text: each row cut at its begin marks, the marks left out. Part 0 continues the row before."""
+    w = Window.partitionBy("row").orderBy("place")
+    p = laid.withColumn("part", F.sum((F.col("token") == begin).cast("int")).over(w).cast("int")).where(F.col("token") != begin)
+    g = p.groupBy("row", "part").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("_t"))  # a row is of bounded size
+    return g.select("row", "part", F.size("_t").alias("tokens"), F.array_join(F.transform("_t", lambda x: x["token"]), " ").alias("text"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmix.functions.rng import uniform, uniform_sql
-from corpusmix.operators import params, search, select
+from corpusmix.operators import params, regress, search, select
+from corpusmix.operators.order import number_rows
 from corpusmix.plans.base import pool, table
 from corpusmix.plans.selection import COPIES, MERGE, SCORED, VALUE, scored
 from corpusmix.plans.signals import rounded
@@ -297,3 +298,52 @@ def learn_and_search(spark, d):
     p = predicted(spark, d)
     scores = search.search(losses(spark, d), flat, search.task_weights(p), flat)
     return search.best_theta(scores, t)
+
+
+def _vectors(spark, d):
+    e = experiments(spark, d).where(search.finite("val_loss")).select("experiment_id", F.col("val_loss").alias("loss"))
+    return regress.vectors(params.flatten(theta(spark, d)), e)
+
+
+@query()
+def regressor_scores(spark, d):
+    """Trees, forests and ridge on the parameters, with a fifth of the experiments held out."""
+    v = _vectors(spark, d)
+    held = search.folds(v.select("experiment_id"), 5).where("fold = 0").select("experiment_id")
+    return regress.scores(v, held)
+
+
+@query()
+def parameter_importance(spark, d):
+    return regress.importances(_vectors(spark, d), [])
+
+
+@query()
+def least_squares(spark, d):
+    return regress.least_squares(_vectors(spark, d))
+
+
+@query()
+def mix_components(spark, d):
+    """Principal components of the domain shares of all experiments."""
+    return regress.components(experiment_domain_matrix(spark, d), [f"d{i}" for i in range(22)])
+
+
+@query(
+    f"{KEPT}, em AS (SELECT experiment_id FROM ex WHERE experiment_id NOT IN (SELECT experiment_id FROM kept)), fb AS (SELECT row_id FROM pool QUALIFY row_number() OVER (ORDER BY {uniform_sql(42, 'row_id')}, row_id) <= 100) SELECT experiment_id, row_id, copies FROM kept UNION ALL SELECT experiment_id, row_id, 1 FROM em, fb"
+)
+def selection_with_fallback(spark, d):
+    """Experiments that select nothing get the 100 records of lowest hash."""
+    s = selection(spark, d).select("experiment_id", "row_id", "copies")
+    none = experiments(spark, d).select("experiment_id").join(s.select("experiment_id").distinct(), "experiment_id", "left_anti")
+    few = number_rows(pool(spark, d).select("row_id", uniform(42, "row_id").alias("_u")), [], ["_u", "row_id"], rank="_k").where("_k < 100")
+    return s.unionByName(none.crossJoin(F.broadcast(few.select("row_id"))).withColumn("copies", F.lit(1)))  # 100 rows
+
+
+@query(f"{KEPT}, s AS (SELECT DISTINCT row_id FROM kept), c AS (SELECT row_id FROM pool WHERE row_id % 3 = 0) SELECT count(*) FILTER (row_id IN (FROM c)) AS hits, count(*) FILTER (row_id NOT IN (FROM c)) AS misses FROM s")
+def cache_hits(spark, d):
+    """Selected records that a cache of every third one holds, and those it lacks."""
+    s = selection(spark, d).select("row_id").distinct()
+    cache = pool(spark, d).where("row_id % 3 = 0").select("row_id")
+    hits, misses = s.join(cache, "row_id", "left_semi"), s.join(cache, "row_id", "left_anti")
+    return hits.agg(F.count(F.lit(1)).alias("hits")).crossJoin(misses.agg(F.count(F.lit(1)).alias("misses")))  # a row each

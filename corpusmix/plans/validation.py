@@ -189,6 +189,12 @@ def top_tokens(spark, d):
     return packing.top_tokens(_laid(spark, d))
 
 
+@query(f"WITH {_LAID}, p AS (SELECT row, place, token, sum((token = '<begin>')::int) OVER (PARTITION BY row ORDER BY place)::int AS part FROM laid) SELECT row::bigint AS row, part, count(*)::int AS tokens, md5(string_agg(token, ' ' ORDER BY place)) AS text_md5 FROM p WHERE token <> '<begin>' GROUP BY ALL")
+def decoded_rows(spark, d):
+    r = packing.decode_rows(_laid(spark, d))
+    return r.select("row", "part", "tokens", F.md5("text").alias("text_md5"))
+
+
 @query(f"WITH {_LAID} SELECT DISTINCT token FROM laid WHERE row % 2 = 0 AND token NOT IN (SELECT token FROM laid WHERE row % 2 = 1)")
 def token_difference(spark, d):
     """Tokens of the even rows that no odd row has."""
