@@ -78,7 +78,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, and the length of the text that decoding its ids gives."""
-    return decode(p7_ids(spark, sf_dir)).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+    return decode(p7_ids(spark, sf_dir)).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
 
 
 QUERIES = {"p7_ids": p7_ids, "p7_round_trip": p7_round_trip}
