@@ -40,7 +40,7 @@ def top_tokens(laid: DataFrame, k: int = 5) -> DataFrame:
     """row, place, token, n of the k most frequent tokens of each row, ties by token."""
     n = laid.groupBy("row", "token").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("row").orderBy(F.desc("n"), "token")
-    return n.select("row", F.row_number().over(w).alias("place"), "token", "n").where(F.col("place") <= k)
+    return n.select("row", F.row_number().over(w).cast("long").alias("place"), "token", "n").where(F.col("place") <= k)
 
 
 def only_in(a: DataFrame, b: DataFrame, token: str = "token") -> DataFrame:

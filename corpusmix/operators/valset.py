@@ -173,7 +173,7 @@ def equal_ratio(df: DataFrame, by: str, target: int, key: str, seed: int = 42) -
 def text_stats(df: DataFrame, by: list[str], text: str, key: str) -> DataFrame:
     """Texts, their mean, deviation, least and most characters, mean words, distinct lower-case words, and those for a text."""
     t = df.where(F.col(text).isNotNull()).withColumn("_w", words(F.lower(text)))
-    s = t.groupBy(*by).agg(F.count(F.lit(1)).alias("texts"), F.avg(F.length(text)).alias("avg_chars"), F.stddev_pop(F.length(text)).alias("std_chars"), F.min(F.length(text)).alias("min_chars"), F.max(F.length(text)).alias("max_chars"), F.avg(F.size("_w")).alias("avg_words"))
+    s = t.groupBy(*by).agg(F.count(F.lit(1)).alias("texts"), F.avg(F.length(text)).alias("avg_chars"), F.stddev_pop(F.length(text)).alias("std_chars"), F.min(F.length(text)).cast("long").alias("min_chars"), F.max(F.length(text)).cast("long").alias("max_chars"), F.avg(F.size("_w")).alias("avg_words"))
     v = t.select(*by, F.explode(F.array_distinct("_w")).alias("_w")).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("vocabulary"))
     j = s.join(v, by, "left") if by else s.crossJoin(v)  # a row each
     v0 = F.coalesce("vocabulary", F.lit(0))

@@ -119,7 +119,7 @@ def selection_union_coverage(spark, d):
 @query(f"{KEPT}, {_MIX} SELECT experiment_id, domain, round(share, 6) AS share, row_number() OVER (PARTITION BY experiment_id ORDER BY share DESC, domain) AS place FROM mix QUALIFY place <= 5")
 def top_domains(spark, d):
     w = Window.partitionBy("experiment_id").orderBy(F.desc("share"), "domain")
-    return rounded(_mix(spark, d).select("experiment_id", "domain", "share", F.row_number().over(w).alias("place")).where("place <= 5"))
+    return rounded(_mix(spark, d).select("experiment_id", "domain", "share", F.row_number().over(w).cast("long").alias("place")).where("place <= 5"))
 
 
 @query(
