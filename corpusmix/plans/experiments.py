@@ -71,15 +71,15 @@ def theta_sample(spark, d):
 
 @query(
     f"WITH {THETA}, o AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY domain) - 1 AS i, count(*) OVER (PARTITION BY experiment_id) AS n FROM theta) "
-    + " UNION ALL ".join([*(f"SELECT experiment_id, (i * 5 + {j})::int AS pos, round(a{j}, 6) AS value FROM o" for j in range(5)), *(f"SELECT experiment_id, (n * 5 + i * 4 + {j})::int, round({c}, 6) FROM o" for j, c in enumerate(("lam", "omega", "eta", "epsilon")))])
+    + " UNION ALL ".join([*(f"SELECT experiment_id, (i * 5 + {j})::int AS pos, round(a{j}, 9) AS value FROM o" for j in range(5)), *(f"SELECT experiment_id, (n * 5 + i * 4 + {j})::int, round({c}, 9) FROM o" for j, c in enumerate(("lam", "omega", "eta", "epsilon")))])
 )
 def theta_flatten(spark, d):
-    return rounded(params.flatten(theta(spark, d)).select("experiment_id", F.posexplode("theta").alias("pos", "value")))
+    return rounded(params.flatten(theta(spark, d)).select("experiment_id", F.posexplode("theta").alias("pos", "value")), 9)
 
 
-@query(f"WITH {THETA}, {_MELT} SELECT experiment_id, domain, name, round(value, 6) AS value FROM melted")
+@query(f"WITH {THETA}, {_MELT} SELECT experiment_id, domain, name, round(value, 9) AS value FROM melted")
 def theta_unflatten(spark, d):
-    return rounded(params.unflatten(params.flatten(theta(spark, d))))
+    return rounded(params.unflatten(params.flatten(theta(spark, d))), 9)
 
 
 @query(f"{KEPT} SELECT experiment_id, row_id, copies FROM kept")
