@@ -15,17 +15,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: By application, the folder of a local session that names none.
+_own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="corpusmix-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="corpusmix-")
     return path.rstrip("/")
 
 
