@@ -67,10 +67,13 @@ def least_squares(data: DataFrame) -> DataFrame:
 
 
 def components(rows: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
-    """component, share of the variance, and a loading for each column."""
+    """component, share of the variance, and a loading for each column; nothing for fewer than two rows."""
+    spark = rows.sparkSession
+    if len(rows.take(2)) < 2:
+        return spark.createDataFrame([], "component int, share double, name string, loading double")
     v = rows.select(array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])).alias("features"))
     m = PCA(k=k, inputCol="features", outputCol="_p").fit(v)
     load, share = m.pc.toArray(), m.explainedVariance.toArray()
-    return rows.sparkSession.createDataFrame([(i, float(share[i]), c, float(load[j][i])) for i in range(k) for j, c in enumerate(columns)], "component int, share double, name string, loading double")
+    return spark.createDataFrame([(i, float(share[i]), c, float(load[j][i])) for i in range(k) for j, c in enumerate(columns)], "component int, share double, name string, loading double")
 
 
