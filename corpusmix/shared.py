@@ -62,6 +62,16 @@ def ship(spark: SparkSession) -> None:
     sc._corpusmix_shipped = True
 
 
+def spread(rows: DataFrame, source: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """rows over all cores, where their source is so small that its files make fewer tasks than there are cores.
+
+    A source of more than `least` bytes for each core is left as it is, so no large text is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * least else rows
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a parquet table in the shared folder and read it back.
 
