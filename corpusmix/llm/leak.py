@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmix.llm.common import table
 from corpusmix.llm.words import WordHashes, runs, words
-from corpusmix.shared import ship
+from corpusmix.shared import ship, spread
 
 LENGTH = 12
 #: Words of all items up to which they are broadcast; more items are taken in parts of that size.
@@ -115,7 +115,7 @@ def leaks(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> DataF
     spark = documents.sparkSession
     ship(spark)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = documents.select("doc_id", F.expr("make_valid_utf8(text)").alias("_text"))
+    docs = spread(documents.select("doc_id", F.expr("make_valid_utf8(text)").alias("_text")), documents)
 
     def search(part: list[tuple[int, list[str]]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(Items(part, length))

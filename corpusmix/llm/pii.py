@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmix.llm.common import table
-from corpusmix.shared import ship
+from corpusmix.shared import ship, spread
 
 KINDS = ("email", "phone", "id", "address", "name")
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
@@ -317,7 +317,7 @@ def find(documents: DataFrame, names: DataFrame, weights: dict[str, float] | Non
 
     rows = documents.select("doc_id", F.expr("make_valid_utf8(text)").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, redacted string, found array<struct<kind: string, value: string, start: int>>")
+    return spread(rows, documents).mapInArrow(run, f"doc_id {kind}, redacted string, found array<struct<kind: string, value: string, start: int>>")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusmix.llm.bpe import DEFAULT_PATH, Bpe, Rounds, split
 from corpusmix.llm.common import clean_lang, clean_source, distrusted, estimate, record_size, table
-from corpusmix.shared import ship
+from corpusmix.shared import ship, spread
 
 #: Distinct pieces a task holds; beyond it they are forgotten and merged anew where they recur.
 HELD = 1 << 20
@@ -52,7 +52,7 @@ def tokens(records: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
         distrusted().alias("distrusted"), record_size().alias("size"), F.expr("make_valid_utf8(text)").alias("_text"),
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, tokens bigint")
+    return spread(rows, records).mapInArrow(run, f"{schema}, tokens bigint")
 
 
 def budget(counted: DataFrame) -> DataFrame:
