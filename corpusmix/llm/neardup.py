@@ -375,4 +375,11 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
-SQL: dict[str, str] = {}
+_WORDS = "list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '\\p{Cf}+', '', 'g'), '[\\p{L}\\p{N}]+'), lambda w: lower(w))"
+SQL = {
+    "p3_found": f"""WITH w AS (SELECT row_id, {_WORDS} AS w FROM unified_data),
+ s AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM w, unnest(range(1, len(w) - 1)) u(i) WHERE len(w) >= 40),
+ n AS (SELECT row_id, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.row_id < b.row_id GROUP BY ALL)
+ SELECT row_id_a, row_id_b FROM c JOIN n x ON x.row_id = row_id_a JOIN n y ON y.row_id = row_id_b WHERE 2 * c >= x.n + y.n - c"""
+}
