@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +30,30 @@ def of_experiments(experiments: DataFrame) -> DataFrame:
     return p.dropna(subset=["domain", *CURVE])
 
 
-def draw(spark: SparkSession, n: int, seed: int = 0, domains: int = DOMAINS) -> DataFrame:
+def draw(spark: SparkSession, n: int, seed: int = 0, domains: int | Iterable[int] = DOMAINS) -> DataFrame:
     """n random sets: weights of the criteria, shared by all domains, times weights of the domain's own,
     each set adding up to 1; curves uniform within their scales. The same for the same seed and number."""
-    d = spark.range(n).withColumnRenamed("id", "experiment_id").withColumn("domain", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(domains - 1).cast("long"))))
-    raw = [uniform(seed, F.lit("a"), "experiment_id", F.lit(i)) * uniform(seed, F.lit("b"), "experiment_id", "domain", F.lit(i)) for i in range(len(CRITERIA))]
-    d = d.select("*", *[r.alias(f"_r{i}") for i, r in enumerate(raw)])
+    return drawn(spark.range(n).withColumnRenamed("id", "experiment_id"), seed, domains)
+
+
+def drawn(ids: DataFrame, seed: int = 0, domains: int | Iterable[int] = DOMAINS) -> DataFrame:
+    """The sets that draw gives to these numbers (experiment_id), without drawing the others."""
+    each = F.array(*[F.lit(i).cast("long") for i in (range(domains) if isinstance(domains, int) else domains)]).cast("array<bigint>")
+    shared = [uniform(seed, F.lit("a"), "experiment_id", F.lit(i)).alias(f"_s{i}") for i in range(len(CRITERIA))]
+    d = ids.select("experiment_id", *shared).withColumn("domain", F.explode(each))
+    raw = [F.col(f"_s{i}") * uniform(seed, F.lit("b"), "experiment_id", "domain", F.lit(i)) for i in range(len(CRITERIA))]
+    d = d.select("experiment_id", "domain", *[r.alias(f"_r{i}") for i, r in enumerate(raw)])
     total: Column = sum((F.col(f"_r{i}") for i in range(1, len(CRITERIA))), F.col("_r0"))
     return d.select("experiment_id", "domain", *[(F.col(f"_r{i}") / total).alias(a) for i, a in enumerate(WEIGHTS)], *[(uniform(seed, F.lit(c), "experiment_id", "domain") * SCALES[c]).alias(c) for c in CURVE])
 
 
+def filled(theta: DataFrame) -> DataFrame:
+    """A row for each set and each domain that any of them has, 0 where the set lacks it, so that all flat vectors are
+    as long and a place in them means the same domain."""
+    grid = theta.select("experiment_id").distinct().crossJoin(F.broadcast(theta.select("domain").distinct()))  # a row for each domain
+    return grid.join(theta, ["experiment_id", "domain"], "left").select("experiment_id", "domain", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in (*WEIGHTS, *CURVE)])
+
+
 def melt(theta: DataFrame) -> DataFrame:
     """experiment_id, domain, name, value."""
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in (*WEIGHTS, *CURVE)]))

@@ -90,10 +90,19 @@ def quality(c: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def best(c: DataFrame, k: int = 10) -> DataFrame:
+    """experiment_id of the k of lowest pred, ties by id."""
+    return c.orderBy("pred", "experiment_id").limit(k).select("experiment_id")
+
+
+def mean_theta(theta: DataFrame) -> DataFrame:
+    """domain, name, value: the mean parameters of all sets."""
+    return params.melt(theta).groupBy("domain", "name").agg(F.avg("value").alias("value"))
+
+
 def best_theta(c: DataFrame, theta: DataFrame, k: int = 10) -> DataFrame:
     """domain, name, value: the mean parameters of the k experiments of lowest pred, ties by id."""
-    top = c.orderBy("pred", "experiment_id").limit(k).select("experiment_id")
-    return params.melt(theta).join(F.broadcast(top), "experiment_id").groupBy("domain", "name").agg(F.avg("value").alias("value"))
+    return mean_theta(theta.join(F.broadcast(best(c, k)), "experiment_id"))
 
 
 def variances(losses: DataFrame) -> DataFrame:

@@ -290,14 +290,23 @@ def task_models(spark, d):
     return search.task_weights(p)
 
 
-@query()
-def learn_and_search(spark, d):
-    """Candidates near the tested sets, scored by the fits; the ten best experiments' parameters, averaged."""
+SEARCH_SEED = 9999
+
+
+def _search(spark, d, points: int):
+    """Scores of new sets on the experiments' domains, and the domains."""
     t = theta(spark, d)
-    flat = params.flatten(t)
-    p = predicted(spark, d)
-    scores = search.search(losses(spark, d), flat, search.task_weights(p), flat)
-    return search.best_theta(scores, t)
+    domains = sorted(r["domain"] for r in t.select("domain").distinct().collect())
+    flat = params.flatten(params.filled(t))
+    candidates = params.flatten(params.draw(spark, points, SEARCH_SEED, domains))
+    return search.search(losses(spark, d), flat, search.task_weights(predicted(spark, d)), candidates), domains
+
+
+@query()
+def learn_and_search(spark, d, points: int = 100_000, k: int = 10):
+    """New sets of parameters, drawn and scored by fits on the tested ones; the k best, averaged."""
+    scores, domains = _search(spark, d, points)
+    return search.mean_theta(params.drawn(search.best(scores, k), SEARCH_SEED, domains))
 
 
 def _vectors(spark, d):
