@@ -82,26 +82,60 @@ def _ids(c):
     return F.transform(words(F.coalesce(F.col(c), F.lit(""))), lambda w: F.length(w))
 
 
-def _masked(spark, d):
+#: The block size of the whole items; SHORT shows what a cut does.
+BLOCK, SHORT = 2048, 64
+
+
+def _masked(spark, d, size):
     e = eval_pairs(spark, d).select("item_id", "task", "full_seq", _ids("context").alias("c"), _ids("continuation").alias("a"))
-    ids, mask = valset.masked(F.col("c"), F.col("a"), F.col("full_seq"), 64)
+    ids, mask = valset.masked(F.col("c"), F.col("a"), F.col("full_seq"), size)
     return e.select("item_id", "task", ids.alias("ids"), mask.alias("mask"), F.size("c").alias("n_context"), F.size("a").alias("n_answer"))
 
 
-_MASKED = f"WITH {PAIRS}, im AS (SELECT item_id, task, full_seq, {_IDS.format(c='context')} AS c, {_IDS.format(c='continuation')} AS a FROM pp), ms AS (SELECT item_id, task, c, a, list_concat(c, a) AS ids, least(len(c) + len(a), 64) AS n, CASE WHEN full_seq THEN 0 ELSE least(len(c), 64) END AS st FROM im)"
+def _masked_sql(size):
+    return f"WITH {PAIRS}, im AS (SELECT item_id, task, full_seq, {_IDS.format(c='context')} AS c, {_IDS.format(c='continuation')} AS a FROM pp), ms AS (SELECT item_id, task, c, a, list_concat(c, a) AS ids, least(len(c) + len(a), {size}) AS n, CASE WHEN full_seq THEN 0 ELSE least(len(c), {size}) END AS st FROM im)"
 
 
-@query(_MASKED + " SELECT item_id, array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN i <= n THEN ids[i] ELSE 0 END), ' ') AS token_ids, array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN i >= st AND i < n THEN '1' ELSE '0' END), '') AS loss_mask FROM ms")
-def padded_items(spark, d):
-    m = _masked(spark, d)
+def _padded_sql(size):
+    return _masked_sql(size) + f" SELECT item_id, array_to_string(list_transform(range(1, {size + 1}), lambda i: CASE WHEN i <= n THEN ids[i] ELSE 0 END), ' ') AS token_ids, array_to_string(list_transform(range(0, {size}), lambda i: CASE WHEN i >= st AND i < n THEN '1' ELSE '0' END), '') AS loss_mask FROM ms"
+
+
+def _padded(spark, d, size):
+    m = _masked(spark, d, size)
     return m.select("item_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("token_ids"), F.array_join(F.transform("mask", lambda x: F.when(x, "1").otherwise("0")), "").alias("loss_mask"))
 
 
-@query(_MASKED + " SELECT task, count(*) AS items, sum(n)::bigint AS tokens, sum(greatest(n - st, 0))::bigint AS loss_tokens, round(avg((len(c) + len(a) > 64)::int), 6) AS cut_share FROM ms GROUP BY 1")
+def _mask_stats_sql(size):
+    return _masked_sql(size) + f" SELECT task, count(*) AS items, sum(n)::bigint AS tokens, sum(greatest(n - st, 0))::bigint AS loss_tokens, round(avg((len(c) + len(a) > {size})::int), 6) AS cut_share FROM ms GROUP BY 1"
+
+
+def _mask_stats(spark, d, size):
+    m = _masked(spark, d, size)
+    n = F.least(F.col("n_context") + F.col("n_answer"), F.lit(size))
+    return rounded(m.groupBy("task").agg(F.count(F.lit(1)).alias("items"), F.sum(n).alias("tokens"), F.sum(F.size(F.filter("mask", lambda x: x))).alias("loss_tokens"), F.avg((F.col("n_context") + F.col("n_answer") > size).cast("int")).alias("cut_share")))
+
+
+@query(_padded_sql(BLOCK))
+def padded_items_block(spark, d):
+    """Items in the reference's block size, which none of the test items exceeds."""
+    return _padded(spark, d, BLOCK)
+
+
+@query(_padded_sql(SHORT))
+def padded_items(spark, d):
+    """Only the first 64 words: shows the cut; padded_items_block has the whole items."""
+    return _padded(spark, d, SHORT)
+
+
+@query(_mask_stats_sql(BLOCK))
+def mask_token_stats_block(spark, d):
+    return _mask_stats(spark, d, BLOCK)
+
+
+@query(_mask_stats_sql(SHORT))
 def mask_token_stats(spark, d):
-    m = _masked(spark, d)
-    n = F.least(F.col("n_context") + F.col("n_answer"), F.lit(64))
-    return rounded(m.groupBy("task").agg(F.count(F.lit(1)).alias("items"), F.sum(n).alias("tokens"), F.sum(F.size(F.filter("mask", lambda x: x))).alias("loss_tokens"), F.avg((F.col("n_context") + F.col("n_answer") > 64).cast("int")).alias("cut_share")))
+    """Of the first 64 words; mask_token_stats_block counts the whole items."""
+    return _mask_stats(spark, d, SHORT)
 
 
 @query(f"WITH {PAIRS}, a AS (SELECT task, count(*) AS loaded FROM eval_items GROUP BY 1), v AS (SELECT task, count(*) AS valid, avg(length(context) + length(continuation)) AS avg_chars, avg(length(continuation) / greatest(length(context) + length(continuation), 1)::double) AS answer_share FROM pp GROUP BY 1) SELECT task, loaded, coalesce(valid, 0) AS valid, least(coalesce(valid, 0), 10) AS sampled, coalesce(valid, 0) > 10 AS capped, round(avg_chars, 6) AS avg_chars, round(answer_share, 6) AS answer_share FROM a LEFT JOIN v USING (task)")
