@@ -72,11 +72,28 @@ def quality_rank_range(spark, d):
     return rounded(select.rank_range(merged(spark, d)).select("row_id", "rank"))
 
 
-@query(
-    f"{MERGED}, rf AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY domain ORDER BY {uniform_sql(1729, 'row_id')}, row_id) <= 50 THEN tokens ELSE 0 END AS w FROM merged) SELECT row_id, round(round(sum(w) OVER (PARTITION BY domain ORDER BY merged DESC RANGE UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY domain)::double, 12), 6) AS rank FROM rf"
-)
+#: Rows of a domain that ranks rest on, all where it has fewer; FEW shows a small sample of them.
+REFERENCE, FEW = 10_000, 50
+
+
+def _subset_sql(size):
+    return f"{MERGED}, rf AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY domain ORDER BY {uniform_sql(1729, 'row_id')}, row_id) <= {size} THEN tokens ELSE 0 END AS w FROM merged) SELECT row_id, round(round(sum(w) OVER (PARTITION BY domain ORDER BY merged DESC RANGE UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY domain)::double, 12), 6) AS rank FROM rf"
+
+
+def _subset(spark, d, size):
+    return rounded(select.rank_subset(merged(spark, d), size).select("row_id", "rank"))
+
+
+@query(_subset_sql(REFERENCE))
+def quality_rank_reference(spark, d):
+    """Ranks among as many rows as the reference takes."""
+    return _subset(spark, d, REFERENCE)
+
+
+@query(_subset_sql(FEW))
 def quality_rank_subset(spark, d):
-    return rounded(select.rank_subset(merged(spark, d), 50).select("row_id", "rank"))
+    """Coarse ranks, among 50 rows of each domain; quality_rank_reference takes 10,000."""
+    return _subset(spark, d, FEW)
 
 
 @query(f"{MERGED}, {RANGE} SELECT row_id, {VALUE.replace(', 12) AS', ', 6) AS')} FROM ranked")
