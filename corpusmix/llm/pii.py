@@ -50,8 +50,9 @@ AT = rf"(?:{S}?@{S}?|{S}?[\[({{]{S}?(?i:at){S}?[\])}}]{S}?|{S}(?i:at){S})"
 DOT = rf"(?:\.|{S}?[\[({{]{S}?(?i:dot){S}?[\])}}]{S}?|{S}(?i:dot){S})"
 EMAIL = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)({AT})([\w](?:[\w-]*[\w])?(?:{DOT}[\w](?:[\w-]*[\w])?)*{DOT}[^\W\d_]{{2,}})(?![\w@])")
 SHUT = r"(?!\w|[-/]\d|\.\d)"
-#: Where a number, or one behind up to two capitals, may begin; plain decimals and grouped thousands are none.
-STARTS = re.compile(r"[+(\dA-Z](?<![\w.+/-](?s:.))(?:(?<=[+(\d])(?!\d*\.\d+(?![\d.])|\d{0,2},\d)|(?<=[A-Z])(?=[A-Z]?[  ]?-?\d))")
+#: Where a number, or one behind up to two capitals, may begin. Grouped thousands are none, nor are plain decimals:
+#: those without a plus, without a 0 before another digit, and without further digits behind a blank or hyphen.
+STARTS = re.compile(r"[+(\dA-Z](?<![\w.+/-](?s:.))(?:(?<=\+)|(?<=[(\d])(?!(?<!0)\d*\.\d+(?![\d.]|[ \xa0-]\d)|(?<=0)\.\d+(?![\d.])|\d{0,2},\d)|(?<=[A-Z])(?=[A-Z]?[ \xa0]?-?\d))")
 PHONES = re.compile(
     rf"(?:(?P<us>(?:\+?1[  .-])?(?:\(\d{{3}}\){S}?|\d{{3}}[  .-])\d{{3}}[  .-]\d{{4}})"
     rf"|(?P<plus>\+\d{{1,3}}(?:{S}?\(0\))?(?:[  ./-]?\(?\d{{1,10}}\)?){{1,6}})"
@@ -210,21 +211,26 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
         s = m.start()
         if not s or not (text[s - 1].isalnum() or text[s - 1] in "_./-"):
             add(s, m.end(), "address", "calle")
+    last = 0  # where the one before ends
     for m in GERMAN.finditer(text):
         s, e = m.span()
-        if text.endswith(GERMAN_TAILS, max(0, s - 8), s):
-            w = WORD_LEFT.search(text, max(0, s - 40), s)
-            if not w or not text[w.start()].isupper():
-                continue
+        lo, last = last, e
+        street = text.endswith(GERMAN_TAILS, max(0, s - 8), s)
+        w = WORD_LEFT.search(text, max(0, s - 40), s) if street else None
+        if w and text[w.start()].isupper():
             if GERMAN_ALONE.fullmatch(w.group()):
                 c = CAP_LEFT.search(text, max(0, w.start() - 40), w.start())
                 if c:
                     add(c.start(), e, "address", "platz")
+                    continue
+            else:
+                add(w.start(), e, "address", "german")
+        at = max(text.rfind(" ", lo, s), text.rfind("\xa0", lo, s))
+        if at > 0 and text[at + 1].isupper() and (left := text[max(0, at - 8) : at].replace("\xa0", " ")).endswith(AT_THE):
+            # Four digits with more behind them are a year, except of a street.
+            if not street and e - s > 5 and len(DIGITS.match(text, s + 1).group()) > 3:
                 continue
-            add(w.start(), e, "address", "german")
-        at = text.rfind(" ", max(0, s - 32), s)
-        if at > 0 and e - s < 6 and text[at + 1].isupper() and text.endswith(AT_THE, max(0, at - 7), at):
-            prep = next(x for x in AT_THE if text.endswith(x, 0, at))
+            prep = next(x for x in AT_THE if left.endswith(x))
             if at == len(prep) or not text[at - len(prep) - 1].isalnum():
                 add(at - len(prep), e, "address", "am", f"am:{text[at + 1 : s].lower()}")
     for rx, form in ((lexicon.forward, "forward"), (lexicon.capitals, "capitals")):
