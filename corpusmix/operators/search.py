@@ -153,12 +153,11 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.nd
 
 def fit_tasks(losses: DataFrame, flat: DataFrame, fold: DataFrame, alpha: float = 1.0) -> DataFrame:
     """task, experiment_id, loss, pred: ridge regression of each task on the flat parameters, each experiment
-    predicted by the fit on the other folds. A task has a row for each experiment, which is what one fit needs."""
+    predicted by the fit on the other folds. A task has a row for each experiment, which is what one fit needs.
+    flat: vectors over the same domains (params.filled)."""
     j = losses.join(flat.select("experiment_id", "theta"), "experiment_id").join(fold, "experiment_id")
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        n = g["theta"].map(len).max()
-        g = g[g["theta"].map(len) == n].reset_index(drop=True)
         x, y = np.array(g["theta"].tolist()), g["loss"].to_numpy()
         pred = np.full(len(g), y.mean())
         for f in g["fold"].unique():
@@ -173,12 +172,11 @@ def fit_tasks(losses: DataFrame, flat: DataFrame, fold: DataFrame, alpha: float
 
 def search(losses: DataFrame, flat: DataFrame, weights: DataFrame, candidates: DataFrame, alpha: float = 1.0) -> DataFrame:
     """experiment_id, pred of candidates (experiment_id, theta): the weighted mean of the tasks' z-scores, as
-    ridge fits on all experiments predict it. The fits, a vector for each task, are broadcast."""
+    ridge fits on all experiments predict it. The fits, a vector for each task, are broadcast. flat and
+    candidates: vectors over the same domains (params.filled)."""
     rows = losses.join(weights.where("weight > 0"), "task").join(flat.select("experiment_id", "theta"), "experiment_id")
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        n = g["theta"].map(len).max()
-        g = g[g["theta"].map(len) == n]
         y = g["loss"].to_numpy()
         w, m, s, _ = ridge(np.array(g["theta"].tolist()), (y - y.mean()) / max(y.std(), 1e-12), alpha)
         return pd.DataFrame({"weight": [g["weight"].iloc[0]], "w": [(w / s).tolist()], "b": [float(-(m / s) @ w)]})
@@ -188,7 +186,7 @@ def search(losses: DataFrame, flat: DataFrame, weights: DataFrame, candidates: D
     def predict(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
             x = np.array(p["theta"].tolist())
-            y = sum((k * (x @ w + b) for k, w, b in models if x.ndim == 2 and len(w) == x.shape[1]), np.zeros(len(p)))
+            y = sum((k * (x @ w + b) for k, w, b in models if len(p)), np.zeros(len(p)))
             yield pd.DataFrame({"experiment_id": p["experiment_id"], "pred": y})
 
     return candidates.select("experiment_id", "theta").mapInPandas(predict, "experiment_id bigint, pred double")

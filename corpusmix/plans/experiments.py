@@ -286,7 +286,7 @@ def masked_task_loss(spark, d):
 def task_models(spark, d):
     """Cross-validated ridge fits of every task: r2 and weight of each."""
     e = experiments(spark, d)
-    p = search.fit_tasks(losses(spark, d), params.flatten(theta(spark, d)), search.folds(e.select("experiment_id"), 5))
+    p = search.fit_tasks(losses(spark, d), params.flatten(params.filled(theta(spark, d))), search.folds(e.select("experiment_id"), 5))
     return search.task_weights(p)
 
 

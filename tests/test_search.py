@@ -29,3 +29,14 @@ def test_search_finds_a_lower_loss_than_any_tested(spark):
     scores = search.search(losses, params.flatten(params.filled(t)), weights, params.flatten(new))
     best = {(r["domain"], r["name"]): r["value"] for r in search.best_theta(scores, new).collect()}
     assert best[3, "lambda"] < 100
+
+
+def test_task_models_keep_experiments_of_other_domains(spark, monkeypatch):
+    """The loss is the lambda of domain 3; beside it half of the experiments have domain 5, half 1, and one has both."""
+    i = F.col("experiment_id")
+    t = params.draw(spark, 80, 1, [1, 3, 5]).where((F.col("domain") == 3) | ((i % 2 == 0) == (F.col("domain") == 5)) | (i == 0))
+    loss = t.where("domain = 3").select("experiment_id", F.lit("x").alias("task"), F.col("lambda").alias("loss"))
+    monkeypatch.setattr(experiments, "theta", lambda spark, d: t)
+    monkeypatch.setattr(experiments, "losses", lambda spark, d: loss)
+    monkeypatch.setattr(experiments, "experiments", lambda spark, d: t.select("experiment_id").distinct())
+    assert [r["r2"] > 0.9 for r in experiments.task_models(spark, "").collect()] == [True]
