@@ -151,6 +151,45 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.nd
     return w, m, s, float(y.mean())
 
 
+def bootstrap_rounds(n: int) -> int:
+    """Draws for n experiments; none for fewer than 10."""
+    return 0 if n < 10 else 100 if n < 50 else 200 if n < 200 else 300 if n < 500 else 500
+
+
+def out_of_bag(losses: DataFrame, flat: DataFrame, rounds: int, alpha: float = 1.0, seed: int = 42) -> DataFrame:
+    """draw, r2: ridge regression of the loss (experiment_id, loss) on the flat parameters, fitted on the experiments drawn
+    and judged by those that weren't. A draw of fewer than 10 experiments or half as many as there are parameters, or
+    that leaves fewer than 5, has none. The vectors, one for each experiment, are broadcast."""
+    j = losses.join(flat.select("experiment_id", "theta"), "experiment_id")
+    rows = sorted(tuple(r) for r in j.select("experiment_id", "loss", "theta").collect())
+    place = {r[0]: k for k, r in enumerate(rows)}
+    shared = j.sparkSession.sparkContext.broadcast((place, np.array([r[2] for r in rows]), np.array([r[1] for r in rows])))
+
+    def judge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, x, y = shared.value
+        for p in it:
+            out = []
+            for draw, ids in zip(p["draw"], p["ids"]):
+                bag = np.array(sorted(place[i] for i in ids))
+                rest = np.setdiff1d(np.arange(len(y)), bag)
+                if len(y) - len(rest) >= max(10, x.shape[1] // 2) and len(rest) >= 5:
+                    w, m, s, b = ridge(x[bag], y[bag], alpha)
+                    off = y[rest] - ((x[rest] - m) / s @ w + b)
+                    out.append((draw, 1 - float(off @ off) / max(float(((y[rest] - y[rest].mean()) ** 2).sum()), 1e-12)))
+            yield pd.DataFrame(out, columns=["draw", "r2"]).astype({"draw": "int32", "r2": "float64"})
+
+    bags = resampled(j, rounds, seed).groupBy("draw").agg(F.collect_list("experiment_id").alias("ids"))  # a number for each experiment
+    return bags.mapInPandas(judge, "draw int, r2 double")
+
+
+def reliability(losses: DataFrame, flat: DataFrame) -> DataFrame:
+    """One row: mean, deviation and the central 95 % of r2 out of the bag, the latter two from 50 draws up; no row below 10."""
+    rounds = bootstrap_rounds(losses.count())
+    r = interval(out_of_bag(losses, flat, rounds) if rounds else losses.select(F.lit(None).cast("double").alias("r2")))
+    many = lambda c: F.when(F.col("draws") >= 50, F.col(c)).alias(c)
+    return r.where("draws >= 10").select("draws", "mean", many("std"), many("low"), many("high"))
+
+
 def fit_tasks(losses: DataFrame, flat: DataFrame, fold: DataFrame, alpha: float = 1.0) -> DataFrame:
     """task, experiment_id, loss, pred: ridge regression of each task on the flat parameters, each experiment
     predicted by the fit on the other folds. A task has a row for each experiment, which is what one fit needs.

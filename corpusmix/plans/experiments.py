@@ -248,6 +248,7 @@ def _finite_experiments(spark, d):
 
 @query(f"WITH {_DRAWS} SELECT draw, count(DISTINCT experiment_id) AS in_bag, (SELECT count(*) FROM fin) - count(DISTINCT experiment_id) AS out_of_bag FROM bag GROUP BY 1")
 def bootstrap_bags(spark, d):
+    """Only the resampling, 30 times; bootstrap_reliability has the draws that the number of experiments asks for."""
     e = _finite_experiments(spark, d)
     n = e.agg(F.count(F.lit(1)).alias("_n"))
     b = search.resampled(e.select("experiment_id"), 30).groupBy("draw").agg(F.countDistinct("experiment_id").alias("in_bag"))
@@ -256,11 +257,19 @@ def bootstrap_bags(spark, d):
 
 @query(f"WITH {_DRAWS}, r AS (SELECT draw, regr_r2(val_loss, train_loss) AS r2 FROM bag JOIN fin USING (experiment_id) WHERE NOT isnan(train_loss) AND NOT isinf(train_loss) GROUP BY 1), f AS (SELECT r2 FROM r WHERE r2 IS NOT NULL AND NOT isnan(r2)) SELECT count(*) AS draws, round(avg(r2), 6) AS mean, round(stddev_pop(r2), 6) AS std, round(quantile_cont(r2, 0.025), 6) AS low, round(quantile_cont(r2, 0.975), 6) AS high FROM f")
 def bootstrap_interval(spark, d):
+    """Only the resampling, with a line through each bag; bootstrap_reliability judges fits out of the bag."""
     e = _finite_experiments(spark, d)
     b = search.resampled(e.select("experiment_id"), 30).join(e.where(search.finite("train_loss")), "experiment_id")
     return rounded(search.interval(b.groupBy("draw").agg(F.regr_r2("val_loss", "train_loss").alias("r2"))))
 
 
+@query()
+def bootstrap_reliability(spark, d):
+    """How well fits on the parameters predict losses of experiments out of the bag; draws by their number."""
+    e = _finite_experiments(spark, d).select("experiment_id", F.col("val_loss").alias("loss"))
+    return search.reliability(e, params.flatten(params.filled(theta(spark, d))))
+
+
 @query(f"WITH {EX} SELECT experiment_id, (ntile(5) OVER (ORDER BY {uniform_sql(42, 'experiment_id')}, experiment_id) - 1)::int AS fold FROM ex")
 def k_folds(spark, d):
     return search.folds(experiments(spark, d).select("experiment_id"), 5)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmix.functions.rng import uniform
 from corpusmix.operators import params, search
 from corpusmix.plans import experiments
 
@@ -40,3 +41,16 @@ def test_task_models_keep_experiments_of_other_domains(spark, monkeypatch):
     monkeypatch.setattr(experiments, "losses", lambda spark, d: loss)
     monkeypatch.setattr(experiments, "experiments", lambda spark, d: t.select("experiment_id").distinct())
     assert [r["r2"] > 0.9 for r in experiments.task_models(spark, "").collect()] == [True]
+
+
+def test_reliability_is_out_of_bag(spark):
+    """Losses that have nothing to do with the parameters can't be predicted out of the bag; those that have, can."""
+    flat = params.flatten(params.draw(spark, 60, 1, [1, 3]))
+    noise = flat.select("experiment_id", uniform(7, "experiment_id").alias("loss"))
+    known = flat.select("experiment_id", F.col("theta")[10].alias("loss"))
+    a, b = search.reliability(noise, flat).first(), search.reliability(known, flat).first()
+    assert a["draws"] == b["draws"] == 200
+    assert a["mean"] < 0.1 and a["low"] < a["mean"] < a["high"]
+    assert b["low"] > 0.9
+    assert search.reliability(noise.where("experiment_id < 9"), flat).count() == 0
+    assert [search.bootstrap_rounds(n) for n in (9, 10, 49, 50, 199, 200, 499, 500)] == [0, 100, 100, 200, 200, 300, 300, 500]
