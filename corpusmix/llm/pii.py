@@ -1,10 +1,12 @@
 """Problem 9: personal information inside texts, found by a semi-Markov conditional random field.
 
-Segments are proposed by grammars of written forms, of bounded length and with all their possible
-borders. Each segment is scored as a whole: its form, its parts against the name lexicon, the words
-beside it. Text outside of segments scores 0, so the best reading of a text is the best set of
-segments that don't overlap, which dynamic programming over their ends finds; borders and kinds are
-chosen together. pii_train.py fits the weights.
+Segments are proposed by grammars of written forms, of bounded length. Phone numbers are proposed
+with each end that a group of digits has before a blank; ids and addresses with the one end that
+their pattern gives; no phone, id or numbered street starts inside a proposed one of its kind. Each
+segment is scored as a whole: its form, its parts against the name lexicon, the words beside it.
+Text outside of segments scores 0, so the best reading of a text is the best set of segments that
+don't overlap, which dynamic programming over their ends finds; kinds and the ends of phone numbers
+are chosen together. pii_train.py fits the weights.
 """
 
 from __future__ import annotations
@@ -86,6 +88,8 @@ WORD_LEFT = re.compile(r"[^\W\d_]+\.?\Z")
 GERMAN_ALONE = re.compile(GERMAN_ENDS + "|markt|chaussee", re.I)
 ID_LABEL = re.compile(rf"(?<![^\W_])(?:{ID_LABELS})", re.I)
 OTHER_LABEL = re.compile(rf"(?<![^\W_])(?:{OTHER_LABELS})", re.I)
+#: Where a group of a number ends before a blank.
+GAP = re.compile(r"(?<=[\d)])[ \xa0]")
 DIGIT, DIGITS, CAPITAL = re.compile(r"\d"), re.compile(r"\d+"), re.compile("[A-Z]")
 LEFT = re.compile(r"[^\W_]+|[^\w\s]")
 
@@ -188,14 +192,18 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
         s = a.start()
         first = text[s]
         if s >= phones and not first.isalpha() and (m := PHONES.match(text, s)):
-            e = phones = m.end()
-            # A bracket around the whole number isn't part of it.
-            e -= text.count(")", s, e) == text.count("(", s, e) + 1 and text[e - 1] == ")"
-            value = text[s:e]
-            digits = sum(map(str.isdigit, value))
-            if 8 <= digits <= 15 and value.count("(") == value.count(")"):
-                shape = DIGIT.sub("9", value)
-                add(s, e, "phone", m.lastgroup or "", f"shape={shape if len(shape) < 24 else 'long'}", f"digits={digits}")
+            # All that end where a group does; each is to be a number by itself.
+            for end in [m.end(), *(b.start() for b in GAP.finditer(text, s + 1, m.end()))]:
+                n = m if end == m.end() else PHONES.fullmatch(text, s, end)
+                if n:
+                    # A bracket around the whole number isn't part of it.
+                    e = end - (text.count(")", s, end) == text.count("(", s, end) + 1 and text[end - 1] == ")")
+                    value = text[s:e]
+                    digits = sum(map(str.isdigit, value))
+                    if 8 <= digits <= 15 and value.count("(") == value.count(")"):
+                        shape = DIGIT.sub("9", value)
+                        add(s, e, "phone", n.lastgroup or "", f"shape={shape if len(shape) < 24 else 'long'}", f"digits={digits}")
+                        phones = max(phones, end)
         if s >= ids and first not in "+(" and (m := IDS.match(text, s)):
             ids = m.end()
             shape = CAPITAL.sub("A", DIGIT.sub("9", m.group()))

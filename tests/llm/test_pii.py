@@ -27,3 +27,13 @@ def test_am(place):
 
 def test_years_with_a_letter_are_no_address():
     assert not proposed("Im Jahr 1893 a man came", "address")
+
+
+@pytest.mark.parametrize("text", ["Call 030 23125668 12 times", "tel 030 23125668 now", "phone 030 23125668 12345678 9"])
+def test_phones_end_at_each_group(text):
+    assert "030 23125668" in proposed(text, "phone")
+
+
+def test_long_runs_of_digits_hide_no_phone():
+    assert "+49 171 2345678" in proposed("Tel. +49 171 2345678 2024 5678 9012 3456", "phone")
+    assert "171 234 5678" in proposed("+1234567890123456 171 234 5678", "phone")
