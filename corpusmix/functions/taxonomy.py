@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmix.schema import CRITERIA, prefix_domains
+from corpusmix.schema import CRITERIA, PREFIX_DOMAIN
 
 ROOT = "$.free_decimal_correspondence.primary"
 
@@ -27,7 +27,7 @@ def labels(taxonomy: str = "eai_taxonomy") -> list[Column]:
 
 def domain_of_code(c: Column) -> Column:
     """The domain of a code's first two characters; -1 for null, shorter and unmapped codes."""
-    pairs = [x for p, d in sorted(prefix_domains().items()) for x in (F.lit(p), F.lit(d).cast("long"))]
+    pairs = [x for p, d in sorted(PREFIX_DOMAIN.items()) for x in (F.lit(p), F.lit(d).cast("long"))]
     known = F.try_element_at(F.create_map(*pairs), F.substring(c, 1, 2))
     return F.when(F.length(c) >= 2, F.coalesce(known, F.lit(-1).cast("long"))).otherwise(F.lit(-1).cast("long"))
 

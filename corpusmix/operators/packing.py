@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmix.operators.order import number_rows
 from corpusmix.shared import ship
 
-#: Documents that one packer sees; a reader's stream is cut into stretches of so many.
-STRETCH = 2048
-
-
 def lay(docs: DataFrame, key: str, tokens: str, size: int, begin: str = "<begin>") -> DataFrame:
     """key, row, place, token: every document's tokens behind a begin mark, end to end, cut into rows of size.
 
@@ -55,40 +53,60 @@ def reader_stats(docs: DataFrame, reader: str, length: str, size: int) -> DataFr
 
 
 def best_fit(docs: DataFrame, key: str, length: str, readers: int, size: int, buffer: int = 256) -> DataFrame:
-    """key, reader, stretch, row, used: documents packed into rows of size + 1 as a training reader does.
+    """key, reader, row, used: documents packed into rows of size + 1 as a training reader does.
 
-    Every reader takes every readers-th document, in the order of key, in stretches of STRETCH. It holds
-    `buffer` documents; a row takes the longest that fits, again and again, and when none fits, the
-    shortest, of which it uses what fills the row. A document's length counts a begin mark too. Nulls
-    and lengths below 0 count as 0. The last row of a stretch may be left with room.
+    Every reader takes every readers-th document, in the order of key. It holds `buffer` documents; a
+    row takes the longest that fits, again and again, and when none fits, the shortest, of which it
+    uses what fills the row. A document's length counts a begin mark too. Nulls and lengths below 0
+    count as 0. The last row of a reader may be left with room. What a reader takes depends on all it
+    took before, so a reader is one task, which streams keys and lengths and holds only its buffer.
     """
     ship(docs.sparkSession)
     d = docs.select(F.col(key).alias("_key"), (F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)) + 1).cast("long").alias("_len"))
-    n = number_rows(d, [], ["_key"], rank="_i").select("_key", "_len", (F.col("_i") % readers).cast("int").alias("reader"), F.expr(f"_i div {readers * STRETCH}").alias("stretch"))
-
-    def pack(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("_key").to_numpy(), kind="stable")
-        keys, lens = t.column("_key").to_numpy()[order], t.column("_len").to_numpy()[order]
-        held: list[int] = []
-        at, row, room = 0, 0, size + 1
-        rows, used = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        while at < len(keys) or held:
-            while at < len(keys) and len(held) < buffer:
-                held.append(at)
-                at += 1
-            fits = [i for i in held if lens[i] <= room]
-            i = max(fits, key=lambda j: (lens[j], -j)) if fits else min(held, key=lambda j: (lens[j], j))
-            held.remove(i)
-            rows[i], used[i] = row, min(lens[i], room)
-            room -= used[i]
+    n = number_rows(d, [], ["_key"], rank="_i").select("_key", "_len", "_i", (F.col("_i") % readers).cast("int").alias("reader"))
+    schema = T.StructType([d.schema["_key"], T.StructField("reader", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("used", T.LongType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, object]] = []  # length, minus the place, key: sorted
+        reader, row, room = None, 0, size + 1
+        out: list[tuple] = []
+
+        def take() -> None:
+            nonlocal row, room
+            i = bisect.bisect_right(held, (room, 1)) - 1
+            if i < 0:
+                i = bisect.bisect_right(held, (held[0][0], 1)) - 1
+            n, _, k = held.pop(i)
+            used = min(n, room)
+            out.append((k, reader, row, used))
+            room -= used
             if room == 0:
                 row, room = row + 1, size + 1
-        return pa.table({"_key": keys, "reader": t.column("reader").take(order), "stretch": t.column("stretch").take(order), "row": rows, "used": used})
-
-    kind = d.schema["_key"].dataType.simpleString()
-    return n.groupBy("reader", "stretch").applyInArrow(pack, f"_key {kind}, reader int, stretch bigint, row bigint, used bigint").withColumnRenamed("_key", key)
-
 
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [[], [], [], []]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int32(), pa.int64(), pa.int64()))], ["_key", "reader", "row", "used"])
+
+        kind = pa.null()
+        for b in batches:
+            kind = b.schema.field(0).type
+            for k, n, i, r in zip(*(c.to_pylist() for c in b.columns)):
+                if r != reader:
+                    while held:
+                        take()
+                    reader, row, room = r, 0, size + 1
+                if len(held) == buffer:
+                    take()
+                bisect.insort(held, (n, -i, k))
+            yield flush()
+        while held:
+            take()
+        if out:
+            yield flush()
+
+    own = n.repartition(readers, "reader").sortWithinPartitions("reader", "_i")
+    return own.mapInArrow(pack, schema).withColumnRenamed("_key", key)
 
 
 def decode_rows(laid: DataFrame, begin: str = "<begin>") -> DataFrame:

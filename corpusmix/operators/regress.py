@@ -8,6 +8,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmix.shared import materialize
+
 
 def learner(kind: str, rows: int, features: int, seed: int = 42):
     """gbt, forest or ridge; trees are the smaller and fewer, the fewer rows there are for each feature."""
@@ -24,10 +26,13 @@ def learner(kind: str, rows: int, features: int, seed: int = 42):
 
 
 def vectors(flat: DataFrame, losses: DataFrame) -> DataFrame:
-    """experiment_id, loss, features of the experiments whose parameters have the most usual length."""
-    j = flat.join(losses, "experiment_id").withColumn("_n", F.size("theta"))
-    usual = j.agg(F.mode("_n")).first()[0]
-    return j.where(F.col("_n") == F.lit(usual)).select("experiment_id", F.col("loss").cast("double"), array_to_vector("theta").alias("features"))
+    """experiment_id, loss, features of all experiments. flat: vectors over the same domains (params.filled); ValueError
+    for vectors of several lengths, none of which may be left out."""
+    j = flat.join(losses, "experiment_id")
+    least, most = j.agg(F.min(F.size("theta")), F.max(F.size("theta"))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} parameters: fill them first")
+    return j.select("experiment_id", F.col("loss").cast("double"), array_to_vector("theta").alias("features"))
 
 
 def r2(predicted: DataFrame) -> DataFrame:
@@ -39,7 +44,7 @@ def r2(predicted: DataFrame) -> DataFrame:
 
 def scores(data: DataFrame, held: DataFrame, kinds: tuple[str, ...] = ("gbt", "forest", "ridge")) -> DataFrame:
     """kind, part (train or val), n, r2, mae. held: experiment_id of those kept out of training."""
-    data = data.persist()
+    data = materialize(data, "vectors")
     val, train = data.join(held, "experiment_id", "left_semi"), data.join(held, "experiment_id", "left_anti")
     n, width = train.count(), len(train.first()["features"])
     out = None

@@ -7,16 +7,28 @@ value falls with the rank along a curve of its domain, and says how many copies
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmix.functions.rng import uniform
+from corpusmix.functions.rng import TWO_52, uniform
 from corpusmix.operators import normalize
 from corpusmix.operators.order import number_rows
-from corpusmix.shared import materialize
+from corpusmix.shared import materialize, ship, spread
 
 SIGMAS = ("s0", "s1", "s2", "s3", "s4")
 WEIGHTS = ("a0", "a1", "a2", "a3", "a4")
+#: Records of a domain that ranks rest on where all would be too many; the domain's all where it has fewer.
+REFERENCE = 10_000
+#: Ranges of a hash by which rows are counted, and records that a task ranks at once.
+RANGES, BLOCK = 4096, 1 << 18
 
 
 def normalized(pool: DataFrame, long: DataFrame, name: str = "rank") -> DataFrame:
@@ -66,14 +78,135 @@ def rank_range(merged: DataFrame, groups: tuple[str, ...] = ("domain",)) -> Data
     return _over_scores(merged, merged.select(*groups, "merged", F.col("tokens").alias("_w")), groups)
 
 
-def rank_subset(merged: DataFrame, size: int, seed: int = 1729, groups: tuple[str, ...] = ("domain",)) -> DataFrame:
-    """Add rank among `size` records of each group, those of lowest hash: their tokens at or above the score.
+def reference_rows(rows: DataFrame, size: int, seed: int = 1729) -> DataFrame:
+    """The `size` rows of lowest hash of each domain, all rows of a smaller one.
 
-    The rank is 0 for a score above all of them.
+    Rows are counted by domain and hash range first; only those up to the range in which a domain
+    reaches its size are ordered, which is `size` rows and one range.
     """
-    n = number_rows(merged.withColumn("_u", uniform(seed, "row_id")), groups, ["_u", "row_id"], rank="_k")
-    ref = n.select(*groups, "merged", F.when(F.col("_k") < size, F.col("tokens")).otherwise(0).alias("_w"))
-    return _over_scores(merged, ref, groups)
+    u = uniform(seed, "row_id")
+    part = F.floor(u * RANGES).cast("int")
+    counts = rows.groupBy("domain", part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most domains * RANGES rows
+    seen: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for r in sorted((r for r in counts if r["domain"] is not None), key=lambda r: (r["domain"], r["part"])):
+        if seen.get(r["domain"], 0) < size:
+            last[r["domain"]] = r["part"]
+        seen[r["domain"]] = seen.get(r["domain"], 0) + r["n"]
+    if not last:
+        return rows.where("false")
+    limit = F.try_element_at(F.create_map(*[F.lit(x).cast("long") for p in sorted(last.items()) for x in p]), F.col("domain").cast("long"))
+    w = Window.partitionBy("domain").orderBy(u, "row_id")
+    return rows.where(part <= limit).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= size).drop("_k")
+
+
+def _shares(scores: np.ndarray, tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each score in `of` the tokens of reference scores at or above it, over all; 0.5 without tokens."""
+    order = np.argsort(-scores, kind="stable")
+    upto = np.r_[0, np.cumsum(tokens[order])]
+    if upto[-1] <= 0:
+        return np.full(len(of), 0.5)
+    return _round12(upto[np.searchsorted(-scores[order], -of, "right")] / upto[-1])
+
+
+def _round12(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e12 + 0.5) / 1e12
+
+
+def rank_subset(merged: DataFrame, size: int, seed: int = 1729) -> DataFrame:
+    """Add rank among `size` records of each domain, those of lowest hash: their tokens at or above the score.
+
+    The rank is 0 for a score above all of them. The reference scores, at most domains * size, are
+    broadcast; ranking is a binary search in one narrow pass. Rows of a null domain drop out.
+    """
+    spark = merged.sparkSession
+    ship(spark)
+    by: dict[int, list] = {}
+    for d, m, t in reference_rows(merged.select("domain", "row_id", "merged", "tokens"), size, seed).where("merged is not null").select("domain", "merged", "tokens").collect():
+        by.setdefault(d, []).append((m, t))
+    shared = spark.sparkContext.broadcast({d: (np.array([m for m, _ in x]), np.array([t or 0 for _, t in x], dtype=np.int64)) for d, x in by.items()})
+    schema = T.StructType([*merged.schema.fields, T.StructField("rank", T.DoubleType())])
+    at, key = merged.columns.index("merged"), merged.columns.index("domain")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.and_(pc.is_valid(b.column(at)), pc.is_valid(b.column(key))))
+            m, d = b.column(at).to_numpy(zero_copy_only=False), b.column(key).to_numpy(zero_copy_only=False)
+            rank = np.zeros(len(m))
+            for x in np.unique(d):
+                own = d == x
+                rank[own] = _shares(*shared.value[x], m[own])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rank)], [*b.schema.names, "rank"])
+
+    return merged.mapInArrow(run, schema)
+
+
+MANY = "experiment_id bigint, row_id bigint, domain bigint, tokens bigint, rank double, value double, copies int, weight double"
+
+
+def select_many(scored: DataFrame, theta: DataFrame, size: int = REFERENCE, seed: int = 42) -> DataFrame:
+    """Selections of many sets of parameters in one narrow pass over the records.
+
+    scored: rows of `normalized`. theta: as in merge, with experiment_id; domains times experiments
+    rows, which are broadcast, as are `size` reference records of each domain. A record's rank under
+    a set is its place among the reference records' scores under it, found by binary search; only
+    records that are drawn leave the task. Gives experiment_id, row_id, domain, tokens, rank, value,
+    copies, weight. Records with a null signal or domain are never drawn.
+    """
+    spark = scored.sparkSession
+    ship(spark)
+    refs: dict[int, list] = {}
+    for r in reference_rows(scored, size).select("domain", "tokens", *SIGMAS).collect():
+        if None not in tuple(r)[2:]:
+            refs.setdefault(r["domain"], []).append(tuple(r)[1:])
+    sets: dict[int, list] = {}
+    for r in theta.select("domain", "experiment_id", *WEIGHTS, "lambda", "omega", "eta", "epsilon").collect():
+        sets.setdefault(r["domain"], []).append(tuple(r)[1:])
+    shared = spark.sparkContext.broadcast({d: (np.array(refs[d], dtype=np.float64), sets[d]) for d in sets if d in refs})
+    names = [f.split()[0] for f in MANY.split(", ")]
+
+    def scores(x: np.ndarray, a: tuple) -> np.ndarray:
+        total = np.zeros(len(x))
+        for i in range(len(WEIGHTS)):
+            total = total + x[:, i] * a[i]
+        return _round12(total)
+
+    def draw(rows: np.ndarray, tokens: np.ndarray, x: np.ndarray, domain: int) -> Iterator[pa.RecordBatch]:
+        ref, own = shared.value[domain]
+        texts = [b":%d" % r for r in rows.tolist()]
+        for p in own:
+            rank = _shares(scores(ref[:, 1:], p[1:6]), ref[:, 0].astype(np.int64), scores(x, p[1:6]))
+            lam, omega, eta, epsilon = p[6:]
+            curve = (2.0 / (1.0 + np.exp(np.clip(-lam * (omega - rank), -100.0, 100.0)))) ** eta + epsilon
+            value = _round12(np.where(rank <= omega, curve, epsilon))
+            head = b"%d:%d" % (seed, p[0])
+            digests = np.frombuffer(b"".join([md5(head + t).digest()[:8] for t in texts]), dtype=">u8")
+            whole = np.floor(value)
+            copies = (whole + ((digests >> np.uint64(12)).astype(np.float64) / TWO_52 < value - whole)).astype(np.int32)
+            at = np.flatnonzero(copies > 0)
+            if len(at):
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, p[0], dtype=np.int64)), pa.array(rows[at]), pa.array(np.full(n, domain, dtype=np.int64)), pa.array(tokens[at]), pa.array(rank[at]), pa.array(value[at]), pa.array(copies[at]), pa.array(1 / np.maximum(value[at], 1e-10))], names
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in chain(batches, (None,)):
+            if b is not None:
+                held.append(b)
+            if not held or (b is not None and sum(h.num_rows for h in held) < BLOCK):
+                continue
+            t = pa.Table.from_batches(held).drop_null()
+            held = []
+            row, domain, tokens = (t.column(c).to_numpy() for c in ("row_id", "domain", "tokens"))
+            x = np.column_stack([t.column(s).to_numpy() for s in SIGMAS])
+            for d in np.unique(domain):
+                if d in shared.value:
+                    own = domain == d
+                    yield from draw(row[own], tokens[own], x[own], int(d))
+
+    return spread(scored.select("row_id", "domain", "tokens", *SIGMAS)).mapInArrow(run, MANY)
 
 
 def sampling_value() -> Column:

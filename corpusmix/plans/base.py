@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmix.schema import DOMAINS, prefix_domains
+from corpusmix.schema import DOMAINS, PREFIX_DOMAIN
 
 Q = ("q0", "q1", "q2", "q3", "q4")
 
@@ -45,7 +45,7 @@ def long(df: DataFrame, *keep: str) -> DataFrame:
 
 LONG = "long AS (" + " UNION ALL ".join(f"SELECT row_id, domain, tokens, {i} AS criterion, {q} AS x FROM pool" for i, q in enumerate(Q)) + ")"
 
-DOMAIN_CASE = "CASE substr(code, 1, 2) " + " ".join(f"WHEN '{p}' THEN {d}" for p, d in sorted(prefix_domains().items())) + " ELSE -1 END"
+DOMAIN_CASE = "CASE substr(code, 1, 2) " + " ".join(f"WHEN '{p}' THEN {d}" for p, d in sorted(PREFIX_DOMAIN.items())) + " ELSE -1 END"
 
 
 def _json_sql(path: str) -> str:

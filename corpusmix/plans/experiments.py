@@ -36,17 +36,15 @@ def theta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selection(spark: SparkSession, d: str) -> DataFrame:
-    """All experiments' selections: one row for each experiment and record drawn."""
-    m = select.merge(scored(spark, d), theta(spark, d))
-    r = select.rank_range(m, ("experiment_id", "domain"))
-    return select.select(r, 42, ("experiment_id", "row_id"))
+    """All experiments' selections: one row for each experiment and record drawn; ranks are among reference records."""
+    return select.select_many(scored(spark, d), theta(spark, d))
 
 
 EX = "ex AS (SELECT * FROM experiment_meta WHERE experiment_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY experiment_id ORDER BY finished_at DESC NULLS LAST, val_loss NULLS FIRST, train_loss NULLS FIRST) = 1)"
 _KEYED = "kd AS (SELECT experiment_id, quality_weights AS qw, sampling_params AS sp, unnest(map_keys(sampling_params)) AS k FROM ex)"
 THETA = f"{EX}, {_KEYED}, theta AS (SELECT experiment_id, k::bigint AS domain, " + ", ".join(f"coalesce(qw[k]['{c}'], 0) AS a{i}" for i, c in enumerate(CRITERIA)) + ", sp[k]['lambda'] AS lam, sp[k]['omega'] AS omega, sp[k]['eta'] AS eta, sp[k]['epsilon'] AS epsilon FROM kd)"
 _MELT = "melted AS (" + " UNION ALL ".join(f"SELECT experiment_id, domain, '{n}' AS name, {c} AS value FROM theta" for n, c in [*((f"a{i}", f"a{i}") for i in range(5)), ("lambda", "lam"), ("omega", "omega"), ("eta", "eta"), ("epsilon", "epsilon")]) + ")"
-KEPT = f"{SCORED}, {THETA}, merged AS (SELECT experiment_id, row_id, s.domain, tokens, lam, omega, eta, epsilon, {MERGE} FROM scored s JOIN theta USING (domain)), ranked AS (SELECT *, round(sum(tokens) OVER (PARTITION BY experiment_id, domain ORDER BY merged DESC RANGE UNBOUNDED PRECEDING) / sum(tokens) OVER (PARTITION BY experiment_id, domain)::double, 12) AS rank FROM merged), valued AS (SELECT *, {VALUE} FROM ranked), kept AS (SELECT *, (floor(value) + ({uniform_sql(42, 'experiment_id', 'row_id')} < value - floor(value))::int)::int AS copies FROM valued WHERE (floor(value) + ({uniform_sql(42, 'experiment_id', 'row_id')} < value - floor(value))::int)::int > 0)"
+KEPT = f"{SCORED}, {THETA}, rf AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY domain ORDER BY {uniform_sql(1729, 'row_id')}, row_id) <= {select.REFERENCE} THEN tokens ELSE 0 END AS w FROM scored), merged AS (SELECT experiment_id, row_id, s.domain, tokens, w, lam, omega, eta, epsilon, {MERGE} FROM rf s JOIN theta USING (domain)), ranked AS (SELECT *, round(sum(w) OVER (PARTITION BY experiment_id, domain ORDER BY merged DESC RANGE UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY experiment_id, domain)::double, 12) AS rank FROM merged), valued AS (SELECT *, {VALUE} FROM ranked), kept AS (SELECT *, (floor(value) + ({uniform_sql(42, 'experiment_id', 'row_id')} < value - floor(value))::int)::int AS copies FROM valued WHERE (floor(value) + ({uniform_sql(42, 'experiment_id', 'row_id')} < value - floor(value))::int)::int > 0)"
 _MIX = "mn AS (SELECT experiment_id, domain, sum(copies)::bigint AS n FROM kept GROUP BY ALL), mix AS (SELECT experiment_id, domain, n, n / sum(n) OVER (PARTITION BY experiment_id)::double AS share FROM mn)"
 
 
@@ -320,7 +318,7 @@ def learn_and_search(spark, d, points: int = 100_000, k: int = 10):
 
 def _vectors(spark, d):
     e = experiments(spark, d).where(search.finite("val_loss")).select("experiment_id", F.col("val_loss").alias("loss"))
-    return regress.vectors(params.flatten(theta(spark, d)), e)
+    return regress.vectors(params.flatten(params.filled(theta(spark, d))), e)
 
 
 @query()

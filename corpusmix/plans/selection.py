@@ -72,8 +72,8 @@ def quality_rank_range(spark, d):
     return rounded(select.rank_range(merged(spark, d)).select("row_id", "rank"))
 
 
-#: Rows of a domain that ranks rest on, all where it has fewer; FEW shows a small sample of them.
-REFERENCE, FEW = 10_000, 50
+#: Rows of a domain that quality_rank_subset's coarse ranks rest on.
+FEW = 50
 
 
 def _subset_sql(size):
@@ -84,10 +84,10 @@ def _subset(spark, d, size):
     return rounded(select.rank_subset(merged(spark, d), size).select("row_id", "rank"))
 
 
-@query(_subset_sql(REFERENCE))
+@query(_subset_sql(select.REFERENCE))
 def quality_rank_reference(spark, d):
     """Ranks among as many rows as the reference takes."""
-    return _subset(spark, d, REFERENCE)
+    return _subset(spark, d, select.REFERENCE)
 
 
 @query(_subset_sql(FEW))

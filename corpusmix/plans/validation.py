@@ -277,6 +277,13 @@ def eval_logs(spark, d):
     return logs.eval_log(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(
+    f"WITH {_LINES}, v AS (SELECT doc_id, i, CASE WHEN regexp_matches(l, '{logs.CORE}') THEN regexp_extract(l, '{logs.CORE}', 1)::double END AS core, CASE WHEN regexp_matches(l, '{logs.CORE_STEP}') THEN regexp_extract(l, '{logs.CORE_STEP}', 1)::bigint END AS core_step, CASE WHEN regexp_matches(l, '{logs.MINUTES}') THEN regexp_extract(l, '{logs.MINUTES}', 1)::double END AS minutes FROM ll WHERE regexp_matches(l, '{logs.CORE}|{logs.MINUTES}')) SELECT doc_id, arg_max(core, i) AS core, arg_max(core_step, i) AS core_step, arg_max(minutes, i) AS minutes FROM v GROUP BY 1"
+)
+def run_logs(spark, d):
+    return logs.run_log(table(spark, d, "documents"), "doc_id", "text")
+
+
 @query("SELECT count(*) AS records, count(DISTINCT substr(md5(text), 1, 12)) AS ids, sum(greatest(1, floor(len(list_filter(regexp_split_to_array(text, '[\\t-\\r ]+'), lambda w: w <> '')) * 1.3::double)))::bigint AS tokens FROM documents WHERE text IS NOT NULL")
 def jsonl_round_trip(spark, d):
     """Texts written as JSON lines and read again through the readers."""

@@ -62,14 +62,13 @@ def ship(spark: SparkSession) -> None:
     sc._corpusmix_shipped = True
 
 
-def spread(rows: DataFrame, source: DataFrame, least: int = 4 << 20) -> DataFrame:
-    """rows over all cores, where their source is so small that its files make fewer tasks than there are cores.
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where the files they come from make fewer splits than there are cores.
 
-    A source of more than `least` bytes for each core is left as it is, so no large text is shuffled.
+    Only a table of so few files and row groups is dealt out; a larger one keeps its splits and isn't shuffled.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < cores * least else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -81,7 +80,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _remember(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpusmix_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a table of materialize that nothing reads any more."""
+    spark, path = df.sparkSession, df._corpusmix_path
+    p, fs = _files(spark, path)
+    fs.delete(p, True)
+    _written.remove((spark, path))
 
 
 def _sweep() -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusmix.functions.text import doc_id, tokens_by_words
 
 # The names a column goes by, first match wins.
-TEXT_NAMES = ("text", "content", "document", "doc", "body", "sentence")
+TEXT_NAMES = ("text", "content", "document", "doc", "body", "sentence", "input")
 DOMAIN_NAMES = ("domain", "label", "category", "domain_id")
 TOKEN_NAMES = ("token_count", "tokens", "num_tokens", "length")
 
@@ -49,9 +49,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, **opti
     return unify(r.json(path), **options)
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", **options) -> DataFrame:
-    """With a header; quoted fields may hold line ends."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str | None = None, **options) -> DataFrame:
+    """With a header; quoted fields may hold line ends. sep: by default a tab for files ending in .tsv, else a comma."""
+    sep = sep or ("\t" if PurePosixPath(path).suffix.lower() == ".tsv" else ",")
+    df = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
     return unify(df, **options)
 
 

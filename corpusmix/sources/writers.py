@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusmix.operators.order import number_rows
@@ -36,16 +36,28 @@ def save_shards(df: DataFrame, key: str, path: str, per_shard: int) -> None:
     shards(df, key, per_shard).select("shard", "text").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
+#: Rows of a result that goes through the driver.
+SMALL = 1000
+
+
+def small(df: DataFrame) -> list[Row]:
+    """All rows of a result of at most SMALL rows; a larger one isn't cut but refused."""
+    rows = df.limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        raise ValueError(f"more than {SMALL} rows: write the table with save instead")
+    return rows
+
+
 def summary_json(df: DataFrame) -> str:
-    """A small result, of at most a few hundred rows, as JSON text."""
-    return json.dumps([json.loads(x) for x in df.limit(1000).toJSON().collect()], ensure_ascii=False, indent=1)
+    """A small result as JSON text; ValueError beyond SMALL rows."""
+    return json.dumps([json.loads(r[0]) for r in small(df.select(F.to_json(F.struct("*"))))], ensure_ascii=False, indent=1)
 
 
 def report(title: str, tables: dict[str, DataFrame]) -> str:
-    """Small results as a Markdown text."""
+    """Small results as a Markdown text; ValueError beyond SMALL rows of a table."""
     lines = [f"# {title}", ""]
     for name, df in tables.items():
         lines += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        lines += ["| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in df.limit(1000).collect()]
+        lines += ["| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in small(df)]
         lines.append("")
     return "\n".join(lines)

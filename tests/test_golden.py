@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusmix.functions import taxonomy, text
 from corpusmix.functions.rng import uniform
 from corpusmix.operators import normalize, search, select, valset
-from corpusmix.schema import prefix_domains
+from corpusmix.schema import PREFIX_DOMAIN
 
 
 def one(df, c):
@@ -89,7 +89,7 @@ def test_domains(spark):
     codes = ["746.92", "510", "640", "45", "7", None, "99"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, c string")
     assert one(df.orderBy("i").select(taxonomy.domain_of_code(F.col("c")).alias("d")), "d") == [16, 9, 21, -1, -1, -1, 19]
-    assert len(prefix_domains()) == 93
+    assert len(PREFIX_DOMAIN) == 93
 
 
 def test_taxonomy_forms(spark):
