@@ -51,7 +51,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     rows = documents.select(F.col(key).alias("_key"), F.expr(f"make_valid_utf8(`{text}`)").alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
-    return spread(rows, documents).mapInArrow(run, f"_key {kind}, ids array<int>").select(F.col("_key").alias(key), "ids")
+    return spread(rows).mapInArrow(run, f"_key {kind}, ids array<int>").select(F.col("_key").alias(key), "ids")
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", path: str = DEFAULT_PATH) -> DataFrame:

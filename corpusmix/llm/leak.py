@@ -115,7 +115,7 @@ def leaks(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> DataF
     spark = documents.sparkSession
     ship(spark)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = spread(documents.select("doc_id", F.expr("make_valid_utf8(text)").alias("_text")), documents)
+    docs = spread(documents.select("doc_id", F.expr("make_valid_utf8(text)").alias("_text")))
 
     def search(part: list[tuple[int, list[str]]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(Items(part, length))

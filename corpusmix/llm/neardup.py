@@ -347,7 +347,7 @@ def near_duplicates(records: DataFrame, threshold: float = THRESHOLD, run: int =
     spark = records.sparkSession
     ship(spark)
     texts = records.select("row_id", F.expr("make_valid_utf8(text)").alias("_text")).where("row_id is not null and _text is not null")
-    sets = materialize(spread(texts, records).mapInArrow(_sets(run, least_words), "row_id bigint, n int, same bigint, shingles binary"), "sets")
+    sets = materialize(spread(texts).mapInArrow(_sets(run, least_words), "row_id bigint, n int, same bigint, shingles binary"), "sets")
     many = sets.groupBy("same").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
     copies = materialize(sets.select("row_id", "same").join(many, "same").select("row_id", "rep"), "copies")
     own = sets.join(copies.where("row_id <> rep").select("row_id"), "row_id", "left_anti")

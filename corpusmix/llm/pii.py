@@ -331,7 +331,7 @@ def find(documents: DataFrame, names: DataFrame, weights: dict[str, float] | Non
 
     rows = documents.select("doc_id", F.expr("make_valid_utf8(text)").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return spread(rows, documents).mapInArrow(run, f"doc_id {kind}, redacted string, found array<struct<kind: string, value: string, start: int>>")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, redacted string, found array<struct<kind: string, value: string, start: int>>")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

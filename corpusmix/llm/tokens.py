@@ -52,7 +52,7 @@ def tokens(records: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
         distrusted().alias("distrusted"), record_size().alias("size"), F.expr("make_valid_utf8(text)").alias("_text"),
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return spread(rows, records).mapInArrow(run, f"{schema}, tokens bigint")
+    return spread(rows).mapInArrow(run, f"{schema}, tokens bigint")
 
 
 def budget(counted: DataFrame) -> DataFrame:
