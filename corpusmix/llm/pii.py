@@ -1,25 +1,26 @@
 """Problem 9: personal information inside texts, found by a semi-Markov conditional random field.
 
-Segments are proposed by grammars of written forms, of bounded length. Phone numbers are proposed
-with each end that a group of digits has before a blank; ids and addresses with the one end that
-their pattern gives; no phone, id or numbered street starts inside a proposed one of its kind. Each
-segment is scored as a whole: its form, its parts against the name lexicon, the words beside it.
-Text outside of segments scores 0, so the best reading of a text is the best set of segments that
-don't overlap, which dynamic programming over their ends finds; kinds and the ends of phone numbers
-are chosen together. pii_train.py fits the weights.
+Every span that may be a value is a segment: for names each stretch of 2 to 6 words within a run of
+capitalised words, particles and initials; for numbers each stretch of groups of a run of digits; for
+addresses each stretch of up to 6 words next to a house number; for emails each end of the domain and
+each start of a spelled-out local part. A segment is scored as a whole, by features of its own and of
+what stands beside it; neighbouring segments add a factor for their kinds and what lies between them.
+Text outside of segments scores 0. Dynamic programming over (end, kind) gives the best reading, borders
+and kinds chosen together, over all segments: those it leaves out beforehand have a score that no
+neighbours could lift above 0. pii_train.py fits the weights.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,272 +29,594 @@ from corpusmix.shared import ship, spread
 
 KINDS = ("email", "phone", "id", "address", "name")
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
-
-# Words of postal addresses and of names in English, German, French and Spanish.
-STREETS = "Street|St\\.|Road|Rd|Avenue|Ave|Lane|Ln|Close|Terrace|Drive|Court|Place|Square|Way|Boulevard|Blvd|Crescent|Row|Hill|Park|Grove|Walk"
-BEFORE_STREET = "Old|New|Upper|Lower|North|South|East|West|Great|Little"
-RUES = "rue|chemin|avenue|boulevard|place|quai|impasse|allée|route|cours|passage|square"
-CALLES = "C/|Calle|Plaza|Camino|Avenida|Avda\\.|Paseo|Ronda|Travesía|Carrera"
-GERMAN_ENDS = "straße|strasse|str\\.|weg|gasse|allee|platz|ring|damm|graben|ufer|steig|hof"
-FLATS = "Flat|Apt|Apt\\.|Apartment|Unit|Suite|Wohnung|Whg\\.|piso|Piso|appt|appt\\.|Appartement|puerta"
-PARTICLES = "von|van|de|der|den|du|des|del|della|di|da|dos|la|le|ter|ten|zu|zum|zur|af|av|bin|al"
-ID_LABELS = "ssn|social security|passport|passeport|pasaporte|reisepass|national id|national number|identity|identité|identidad|identitäts|ausweis|steuer|tax|nif|nie|dni|ni number|nino|insurance|sozialversicherung|sécurité sociale|seguridad social|numéro national|número nacional|holder|id number|id no|id card|citizen|licence|license|national_id|fiscal|nin|nir|rentenversicherung"
-OTHER_LABELS = "article|artikel|artículo|order|commande|pedido|bestell|sku|ticket|part no|part number|serial|série|serie|invoice|rechnung|facture|factura|isbn|issn|doi|ref|référence|referencia|tracking|model|lot|product|produkt|batch|version|build|item|code|case|account|parcel"
-FUNCTION_WORDS = set("the a an every each although its it when no why only this our their some if in on at to of and or but by for from with after before between compared most all both past last what who how there here he she we they you i your my his her is are was were will not der die das ein eine und oder wenn im am zu von mit nach vor le la les un une des du et ou si dans sur avec après avant el los las una y o en con según antes desde por para critics people nobody someone today".split())
-TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "lady", "frau", "herr", "señor", "señora", "sr", "sra", "don", "doña", "monsieur", "madame", "mme", "mlle", "dear", "patient"}
-
-S = "[  ]"
-UP, LO = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
-CAP = f"[{UP}][{LO}]+"
-PART = f"(?:(?:{PARTICLES}){S})"
-# Patterns that every text is searched for begin with a class of characters, which the search can skip by.
-ANCHORS = re.compile(rf"[@\[({{  ](?:(?<=@)|(?<=[\[({{]){S}?(?i:at){S}?[\])}}]|(?<={S})(?i:at){S}(?=[^\W_][\w.-]*{S}(?:(?i:dot){S}|[\[({{](?i:dot))))")
-AT = rf"(?:{S}?@{S}?|{S}?[\[({{]{S}?(?i:at){S}?[\])}}]{S}?|{S}(?i:at){S})"
-DOT = rf"(?:\.|{S}?[\[({{]{S}?(?i:dot){S}?[\])}}]{S}?|{S}(?i:dot){S})"
-EMAIL = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)({AT})([\w](?:[\w-]*[\w])?(?:{DOT}[\w](?:[\w-]*[\w])?)*{DOT}[^\W\d_]{{2,}})(?![\w@])")
-SHUT = r"(?!\w|[-/]\d|\.\d)"
-#: Where a number, or one behind up to two capitals, may begin. Grouped thousands are none, nor are plain decimals:
-#: those without a plus, without a 0 before another digit, and without further digits behind a blank or hyphen.
-STARTS = re.compile(r"[+(\dA-Z](?<![\w.+/-](?s:.))(?:(?<=\+)|(?<=[(\d])(?!(?<!0)\d*\.\d+(?![\d.]|[ \xa0-]\d)|(?<=0)\.\d+(?![\d.])|\d{0,2},\d)|(?<=[A-Z])(?=[A-Z]?[ \xa0]?-?\d))")
-PHONES = re.compile(
-    rf"(?:(?P<us>(?:\+?1[  .-])?(?:\(\d{{3}}\){S}?|\d{{3}}[  .-])\d{{3}}[  .-]\d{{4}})"
-    rf"|(?P<plus>\+\d{{1,3}}(?:{S}?\(0\))?(?:[  ./-]?\(?\d{{1,10}}\)?){{1,6}})"
-    rf"|(?P<city>\(0\)\d{{2,4}}{S}\d{{4,8}})"
-    rf"|(?P<zeros>00[1-9]\d{{1,2}}(?:[  ./-]?\(?\d{{2,9}}\)?){{1,5}})"
-    rf"|(?P<pairs>0[1-9](?:[  .-]?\d\d){{4}})"
-    rf"|(?P<area>(?:\(0[1-9]\d{{1,3}}\)|0[1-9]\d{{1,3}})[  /-]?\d{{3,8}}(?:[  -]\d{{1,6}}){{0,3}})"
-    rf"|(?P<nine>[6-9]\d\d(?:{S}\d{{3}}{S}\d{{3}}|{S}\d\d{S}\d\d{S}\d\d)))" + SHUT
-)
-IDS = re.compile(
-    rf"(?:(?P<ssn>\d{{3}}[-  ]\d\d[-  ]\d{{4}})"
-    rf"|(?P<nino>[A-Z]{{2}}{S}?\d\d{S}?\d\d{S}?\d\d{S}?[A-Z])"
-    rf"|(?P<dni>\d{{8}}-?[A-Z]|\d\d\.\d{{3}}\.\d{{3}}-?[A-Z])|(?P<nie>[XYZ]-?\d{{7}}-?[A-Z])"
-    rf"|(?P<nir>[12]{S}?\d\d{S}?\d\d{S}?\d\d{S}?\d{{3}}{S}?\d{{3}}(?:{S}?\d\d)?)"
-    rf"|(?P<pass>[A-Z]{{1,2}}\d{{6,8}})|(?P<tax>\d\d{S}\d{{3}}{S}\d{{3}}{S}\d{{3}}))" + SHUT
+#: Words of a name or of a street at most, words before a segment that count as its context, and entries of each cache.
+NAME_WORDS, STREET_WORDS, CONTEXT, KEPT = 6, 6, 6, 1 << 16
+#: Names that are broadcast at most.
+LEXICON = 1 << 20
+
+# Small words of English, German, French and Spanish, titles, particles of names, words before a flat's number.
+FUNCTION = frozenset(
+    "a an the and or but if of in on at to from by for with without as is are was were be been it its this that these those there here he she we they you i my your his her our their who what when where why how which while than then not no yes do does did can could will would should may might must have has had all any each every some most many few more less other another such only own same so too very just also after before between during under over above below about into through against until again once since because although though however past near both either neither nobody nothing someone everyone people most "
+    "der die das den dem des ein eine einer eines einem einen und oder aber wenn weil dass ob im in am an auf zu zur zum von vom mit ohne nach vor bei aus für über unter durch gegen seit bis um ist sind war waren wird werden hat haben ich du er sie es wir ihr nicht kein keine keiner keines jede jeder jedes dieser diese dieses mein meine meinem meinen meiner dein deine sein seine unser unsere euer eure alle aller allen viele manche wenige einige wer was wann wo warum wie welche neben auch nur noch schon sehr "
+    "le la les un une des du de et ou mais si dans sur sous avec sans pour par entre vers chez après avant depuis pendant est sont était qui que quoi quand où pourquoi comment ce cette ces son sa ses notre nos votre vos leur leurs il elle nous vous ils elles je tu on ne pas aucun aucune chaque tout toute tous selon "
+    "el los las unos unas y o pero si en sobre con sin para por entre hacia desde hasta según durante es son era fue quien que cuando donde como cual este esta estos estas su sus nuestro nuestra cada todo toda todos ningún ninguna no".split()
 )
-FLAT = rf"(?:,?{S}(?:{FLATS}){S}?\d+{S}?[A-Za-z]?(?![\w]))"
-HOUSE = rf"\d{{1,4}}{S}?[a-zA-Z]?(?:{S}(?:bis|ter))?"
-NUMBERED = re.compile(
-    rf"(?P<street>\d{{1,4}}[a-zA-Z]?{S}(?:(?:{BEFORE_STREET}){S})?{CAP}(?:{S}{CAP})?{S}(?:{STREETS})(?!\w){FLAT}?)"
-    rf"|(?P<rue>\d{{1,4}}[a-zA-Z]?(?:{S}(?:bis|ter))?,?{S}(?:{RUES}){S}(?:(?:de{S}la|du|des|de|aux?){S}|de{S}l'|d')?{CAP}(?:[ -]{CAP})?{FLAT}?)"
-)
-NAMED = re.compile(rf"(?:{CALLES}){S}(?:(?:de{S}la|de{S}los|de{S}las|del|de){S})?{CAP}(?:{S}{CAP})?(?:,|,?{S}n\.º|,?{S}nº|,?{S}núm\.)?{S}{HOUSE}(?!\w){FLAT}?")
-AT_THE = ("Am", "An der", "Auf dem", "Im", "In der", "Zum", "Zur")
-CAP_LEFT = re.compile(rf"{CAP}(?:-{CAP})*{S}\Z")
-GERMAN = re.compile(rf"{S}(?<=[{LO}.]{S})\d{{1,4}}(?!\d){S}?[a-zA-Z]?(?!\w){FLAT}?")
-GERMAN_TAILS = tuple(x for t in GERMAN_ENDS.replace("\\", "").split("|") for x in (t, t.capitalize())) + ("Markt", "Chaussee")
-PARTICLES_LEFT = re.compile(rf"(?<![^\W_]){PART}+\Z")
-RIGHT_LAST, RIGHT_FIRST = re.compile(r"([^\W_]+)[ \xa0]+\Z"), re.compile(r"\A[ \xa0]+([^\W_]+)")
-WORD_LEFT = re.compile(r"[^\W\d_]+\.?\Z")
-GERMAN_ALONE = re.compile(GERMAN_ENDS + "|markt|chaussee", re.I)
-ID_LABEL = re.compile(rf"(?<![^\W_])(?:{ID_LABELS})", re.I)
-OTHER_LABEL = re.compile(rf"(?<![^\W_])(?:{OTHER_LABELS})", re.I)
-#: Where a group of a number ends before a blank.
-GAP = re.compile(r"(?<=[\d)])[ \xa0]")
-DIGIT, DIGITS, CAPITAL = re.compile(r"\d"), re.compile(r"\d+"), re.compile("[A-Z]")
-LEFT = re.compile(r"[^\W_]+|[^\w\s]")
+TITLES = frozenset("mr mrs ms miss dr prof professor sir lady dame lord frau herr fräulein señor señora señorita sr sra don doña monsieur madame mademoiselle mme mlle m signor signora captain colonel judge president minister senator rabbi pastor father sister brother king queen saint st".split())
+PARTICLES = frozenset("von van vom de der den du des del della di da dos das la le les lo ter ten zu zum zur af av bin ibn al el y e d st mac op".split())
+FLATS = r"(?:flat|apt|apartment|unit|suite|ste|room|floor|whg|wohnung|piso|puerta|pta|appt|appartement|app|bte|interno|int)\.?|#"
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫段雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔向常汤"
+LOW_STREETS = frozenset("rue avenue boulevard bd place quai impasse allée allee chemin route cours passage square via viale piazza corso largo calle c plaza camino avenida paseo ronda travesía carrera rua".split())
+
+TLDS = frozenset("com org net edu gov mil int info biz io ai app dev eu de fr es it uk us ca au at ch nl be se no dk fi pl cz pt ie ru ua cn jp kr in br mx ar example test invalid localhost".split())
+
+S = "[ \xa0]"
+_letter = r"[^\W\d_]"
+#: A word of a name: it begins with a capital, and may hold hyphens and apostrophes; or an initial.
+CAPITAL = regex.compile(rf"(?<![\w@])(?:\p{{Lu}}\.(?:-?\p{{Lu}}\.)*|\p{{Lu}}[\p{{L}}\p{{M}}]*(?:['’\-]\p{{L}}[\p{{L}}\p{{M}}]*)*)(?![\w@]|['’\-]\w)")
+RUN = regex.compile(rf"{CAPITAL.pattern}(?:,?{S}(?:\p{{Ll}}{{1,5}}{S}|[dl]['’]){{0,3}}{CAPITAL.pattern})+")
+PIECE = regex.compile(rf"(,)|({CAPITAL.pattern})|(\p{{Ll}}+)")
+HAN = re.compile(rf"[{SURNAMES}][一-鿿]{{1,2}}")
+AT = re.compile(rf"@|{S}@{S}|{S}?[\[({{<]{S}?(?i:at){S}?[\])}}>]{S}?|(?<=\w){S}(?i:at){S}(?=\w)")
+DOT = rf"(?:\.|{S}?[\[({{<]{S}?(?i:dot){S}?[\])}}>]{S}?|{S}(?i:dot){S})"
+LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
+DOMAIN = re.compile(rf"{LABEL}(?:{DOT}{LABEL})+")
+DOTS = re.compile(DOT)
+SPELLED_LEFT = re.compile(rf"(?:[\w+'’-]+(?:{S}?[\[({{<]{S}?(?i:dot){S}?[\])}}>]{S}?|{S}(?i:dot){S}))+\Z")
+NUMBERS = re.compile(r"(?<!\w)(?<!\d,)(?:[+(]{1,2}|(?:[A-Z]{1,2}[ \xa0])?(?=[A-Z]{0,3}\d))[A-Z]{0,3}\d[\dA-Z]*(?:[ \xa0./()-]{1,3}[A-Z]{0,3}\d[\dA-Z]*)*(?:[ \xa0-]?[A-Z](?![\w'’]))?")
+GROUP = re.compile(r"[A-Z]{0,3}\d[\dA-Z]*|[A-Z]{1,2}")
+LATER = re.compile(r"(?<=\d)\d")
+HOUSE = re.compile(rf"(?<![\w/:€$£#+-])(?<!\d[.,])\d{{1,5}}(?:{S}?[a-zA-Z](?![\w'’]))?(?:[-/]\d{{1,4}}[a-zA-Z]?)?(?:{S}(?:bis|ter|quater)(?!\w))?(?![\w%€$£°]|[.,:/]\d|-\d)")
+STREET_WORD = re.compile(rf"{_letter}(?:[\w'’]|[.](?=[\s,.]|\Z)|-(?=\w))*(?:/(?={S}))?")
+FLAT = re.compile(rf",?{S}(?i:{FLATS}){S}?\d+{S}?[A-Za-zªº]?(?!\w)")
+WORD = re.compile(r"[^\W_]+")
+ABBREVIATED = frozenset("st rd ave av blvd str pl sq dr ln ct hwy nr no ste apt".split())
+#: First digits of a group by class; the others are 9 in a shape, and the second is 8 in a run that begins with 00.
+CLASSES = str.maketrans("123456789", "113336666")
 
 
 class Lexicon:
-    """What a list of names tells of other names: usual endings, beginnings of stems and ends of stems."""
+    """What a list of names tells: the names themselves, and the usual endings of family names."""
 
-    def __init__(self, names: Iterable[tuple[str, str]]):
-        given, family = set(), set()
+    def __init__(self, names: Iterable[tuple[str | None, str | None]]):
+        self.given: set[str] = set()
+        self.family: set[str] = set()
         for kind, name in names:
             if kind and name and name.strip():
-                (given if kind == "given" else family).add(name.strip().lower())
-        self.given, self.family = given, family
-        count = Counter(n[-k:] for n in family for k in range(2, 7) if len(n) > k + 2)
+                (self.given if kind == "given" else self.family).add(name.strip().lower())
+        count = Counter(n[-k:] for n in self.family for k in range(2, 7) if len(n) > k + 2)
         ends = set()
         for end in [e for e in count if len(e) == 2 and count[e] >= 3]:
             # An ending is lengthened as long as nine in ten names agree on the next letter.
             while (longer := max((e for e in count if len(e) == len(end) + 1 and e.endswith(end)), key=lambda e: (count[e], e), default=None)) and count[longer] >= 0.9 * count[end]:
                 end = longer
             ends.add(end)
-        self.ends = sorted(ends, key=lambda e: (-len(e), e))
-        self.starts = {n[:2] for n in family}
-        self.stems = {s[-2:] for n in family if (s := self.stem(n))}
-        tail = "|".join(map(re.escape, self.ends)) or "(?!)"
-        one = rf"[{UP}][{LO}]+(?:{tail})(?![\w])"
-        whole = "|".join(sorted(re.escape(n.capitalize()) for n in family if not self.stem(n)))
-        one = rf"(?:{one}|(?:{whole})(?!\w))" if whole else one
-        big = rf"[{UP}]+(?:{tail.upper()})(?!\w)"
-        fam, bigfam = rf"{one}(?:-{one})?", rf"{big}(?:-{big})?"
-        shut = r"(?<![\w@.+-](?s:.))"  # what stands before the first letter, asked once that is there
-        first, bigfirst = rf"[{UP}]{shut}[{LO}]+(?:-{CAP})?", rf"[{UP}]{shut}[{UP}]+(?:-[{UP}]{{2,}})?"
-        middle = rf"(?:[{UP}]\.{S}){{0,2}}"
-        start = lambda f: f.replace(f"[{UP}]", f"[{UP}]{shut}", 1)
-        plain, bigplain = rf"{CAP}(?:-{CAP})?", rf"[{UP}]{{2,}}(?:-[{UP}]{{2,}})?"
-        self.forward = re.compile(rf"({first}){S}({middle})({PART}*)({fam})(?!-\w|@|\.\w)")
-        self.backward = re.compile(rf"({start(fam)})(,?){S}({plain})({S}[{UP}]\.)?(?![\w@-])")
-        self.capitals = re.compile(rf"({bigfirst}){S}({middle})((?:(?:{PARTICLES}|{PARTICLES.upper()}){S})*)({bigfam})(?!-\w|@|\.\w)")
-        self.inverted = re.compile(rf"({start(bigfam)})(,?){S}({bigplain})(?![\w@-])")
+        self.ends = tuple(sorted(ends, key=lambda e: (-len(e), e)))
+        self.share = {e: count[e] / max(1, len(self.family)) for e in self.ends}
+        self.starts = {n[:2] for n in self.family}
+        self.stems = {s[-2:] for n in self.family if (s := self.stem(n))}
 
     def stem(self, name: str) -> str:
         return next((name[: -len(e)] for e in self.ends if name.endswith(e) and len(name) > len(e) + 1), "")
 
-    def family_features(self, name: str, at: str) -> Iterator[str]:
-        for part in name.lower().split("-"):
-            if part in self.family:
-                yield f"{at}=listed"
-                continue
-            stem = self.stem(part)
-            yield f"{at}={'start' if stem[:2] in self.starts else 'odd'}{'stem' if stem[-2:] in self.stems else 'odd'}{'short' if len(stem) < 3 else ''}"
-
-    def given_features(self, name: str, at: str) -> Iterator[str]:
-        for part in name.lower().split("-"):
-            yield f"{at}={'listed' if part in self.given else 'title' if part in TITLES else 'function' if part in FUNCTION_WORDS else 'other'}"
+    def like(self, word: str) -> str:
+        """How much a word looks like the family names of the list."""
+        if not (stem := self.stem(word)):
+            return "no"
+        return f"{'s' if stem[:2] in self.starts else '-'}{'e' if stem[-2:] in self.stems else '-'}{'' if len(stem) > 2 else '2'}{'+' if self.share[word[len(stem) :]] >= 0.04 else ''}"
 
 
 class Segment:
-    __slots__ = ("start", "end", "kind", "features")
-
-    def __init__(self, start: int, end: int, kind: str, features: list[str]):
-        self.start, self.end, self.kind, self.features = start, end, kind, features
-
-
-def beside(text: str, start: int, end: int) -> list[str]:
-    """The two words before a segment and what stands right before and behind it."""
-    before = [w.lower() for w in LEFT.findall(text[max(0, start - 48) : start])]
-    words = [w for w in before if w[0].isalpha()][-2:]
-    near = ["".join(before[-1:])[-12:]]
-    last = text[start - 1] if start else "^"
-    case = "".join("C" if w[:1].isupper() else "c" if w[:1].islower() else "-" for w in (RIGHT_LAST.findall(text[max(0, start - 24) : start])[-1:] or ["-"]) + (RIGHT_FIRST.findall(text[end : end + 24])[:1] or ["-"]))
-    return [f"case={case}", f"w1={words[-1] if words else '^'}", f"w2={words[0] if len(words) > 1 else '^'}", f"l={last if not last.isalnum() else 'a'}", f"n={near[0] if near[0] else '^'}", f"r={'^' if end >= len(text) else text[end] if not text[end].isalnum() else 'a'}"]
+    __slots__ = ("start", "end", "kind", "score", "features")
+
+    def __init__(self, start: int, end: int, kind: str, score: float = 0.0, features: list[str] | None = None):
+        self.start, self.end, self.kind, self.score, self.features = start, end, kind, score, features or []
+
+
+class View:
+    """A text, with what features ask of the whole of it, computed when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._low: set[str] | None = None
+        self._words: tuple[list[int], list[str]] | None = None
+        self._lines: dict[int, str] = {}
+
+    def lower(self, word: str) -> bool:
+        """Whether the text has the word in small letters."""
+        if self._low is None:
+            self._low = {w for w in self.text.replace("\xa0", " ").split() if w[0].islower()} if len(self.text) < 512 else {w for w in set(self.text.split()) if w[0].islower()}
+            self._low |= {w.rstrip(".,;:!?)") for w in self._low}
+        return word in self._low
+
+    def before(self, start: int) -> list[str]:
+        """Up to CONTEXT words before a place on its line, the nearest first, in small letters."""
+        out: list[str] = []
+        at = start
+        low = self.text.rfind("\n", 0, start) + 1
+        while len(out) < CONTEXT and at > low:
+            while at > low and not (self.text[at - 1].isalnum()):
+                at -= 1
+            end = at
+            while at > low and self.text[at - 1].isalnum():
+                at -= 1
+            if end > at:
+                w = self.text[at:end]
+                out.append("0" if w.isdigit() else w.lower())
+        return out
+
+    def line(self, start: int) -> str:
+        """Whether the line is set like a title: its words with a capital, over all."""
+        low = self.text.rfind("\n", 0, start) + 1
+        if low not in self._lines:
+            high = self.text.find("\n", low)
+            ws = [w for w in self.text[low : high if high >= 0 else len(self.text)].split() if w[0].isalpha()]
+            up = sum(w[0].isupper() for w in ws)
+            self._lines[low] = "few" if len(ws) < 5 else "title" if up >= 0.8 * len(ws) else "half" if up >= 0.5 * len(ws) else "text"
+        return self._lines[low]
+
+    def left(self, start: int) -> str:
+        """What stands right before a place."""
+        t = self.text
+        if not start or t[start - 1] == "\n":
+            return "^"
+        c = t[start - 1]
+        if c in " \xa0":
+            p = t[start - 2] if start > 1 else "^"
+            return "_^" if p in "^\n" else "_." if p in ".!?" else "_a" if p.isalpha() else "_0" if p.isdigit() else "_" + p
+        return "a" if c.isalpha() else "0" if c.isdigit() else c
+
+    def right(self, end: int) -> str:
+        t = self.text
+        if end >= len(t) or t[end] in "\r\n":
+            return "^"
+        c = t[end]
+        if c in " \xa0":
+            n = t[end + 1] if end + 1 < len(t) else "^"
+            return "_A" if n.isupper() else "_a" if n.isalpha() else "_0" if n.isdigit() else "_" + n
+        return "a" if c.isalpha() else "0" if c.isdigit() else c
+
+
+def word_features(word: str, lexicon: Lexicon, role: str) -> list[str]:
+    """Features of one word of a name. role: G for given, F for family, M between them."""
+    low = word.lower()
+    if word.endswith("."):
+        return [f"{role}:initial"]
+    parts = [p for p in re.split(r"-", low) if p]
+    out = []
+    for p in parts[:1] if role == "G" else parts[-1:]:
+        known = ("g" if p in lexicon.given else "") + ("f" if p in lexicon.family else "")
+        like = lexicon.like(p) if "f" not in known else "listed"
+        out += [f"{role}:known={known or '-'}", f"{role}:like={like}", f"{role}:w={p}", f"{role}:s2={p[-2:]}", f"{role}:s3={p[-3:]}", f"{role}:p2={p[:2]}", f"{role}:len={min(len(p), 10)}"]
+        if p in FUNCTION:
+            out.append(f"{role}:function")
+        if p in TITLES:
+            out.append(f"{role}:title")
+    out.append(f"{role}:shape={'X' if len(word) > 1 and word.isupper() else 'x' if word[0].islower() else 'm' if any(c.isupper() for c in word[1:]) and '-' not in word else 'C'}{'-' if len(parts) > 1 else ''}{'q' if chr(39) in word or '’' in word else ''}")
+    if not word.isascii() and "CYRILLIC" in _script(word):
+        out.append(f"{role}:cyrillic={p[-2:]}")
+    return out
 
 
-def segments(text: str, lexicon: Lexicon) -> list[Segment]:
-    """All segments that a text may hold, with their features."""
-    out: list[Segment] = []
+def _script(word: str) -> str:
+    return "CYRILLIC" if any("Ѐ" <= c <= "ӿ" for c in word) else "LATIN"
 
-    def add(start: int, end: int, kind: str, form: str, *more: str) -> None:
-        own = [kind, f"{kind}:{form}", *(f"{kind}:{m}" for m in more)]
-        own += [f"{kind}:{x}" for x in beside(text, start, end)]
-        out.append(Segment(start, end, kind, own))
 
-    done = -1
-    for a in ANCHORS.finditer(text):
-        lo = max(0, a.start() - 72)
-        for m in EMAIL.finditer(text, lo, min(len(text), a.end() + 128)):
-            if m.start() <= done or not m.start() <= a.start() < m.end():
-                continue
-            if lo and m.start() == lo:
-                continue  # its start lies before what an address can hold
-            done = m.end()
-            local, at, domain = m.groups()
-            sign = "sign" if "@" in at else "bracket" if at.strip()[:1] in "[({" else "word"
-            low = re.split(r"[._+-]|\d", local.lower())
-            named = any(p in lexicon.given or p in lexicon.family or lexicon.stem(p) for p in low if len(p) > 2)
-            plain = local.isalpha()
-            more = [f"named={named}", f"plain={plain}{sign}", f"local={local.lower() if plain else '#'}", f"tld={re.split(r'[^a-z]+', domain.lower())[-1]}"]
-            add(m.start(), m.end(), "email", sign + ("dot" if "dot" in domain.lower() and "." not in domain else ""), *more)
-    phones = ids = streets = 0  # where the last one of each ends
-    for a in STARTS.finditer(text):
-        s = a.start()
-        first = text[s]
-        if s >= phones and not first.isalpha() and (m := PHONES.match(text, s)):
-            # All that end where a group does; each is to be a number by itself.
-            for end in [m.end(), *(b.start() for b in GAP.finditer(text, s + 1, m.end()))]:
-                n = m if end == m.end() else PHONES.fullmatch(text, s, end)
-                if n:
-                    # A bracket around the whole number isn't part of it.
-                    e = end - (text.count(")", s, end) == text.count("(", s, end) + 1 and text[end - 1] == ")")
-                    value = text[s:e]
-                    digits = sum(map(str.isdigit, value))
-                    if 8 <= digits <= 15 and value.count("(") == value.count(")"):
-                        shape = DIGIT.sub("9", value)
-                        add(s, e, "phone", n.lastgroup or "", f"shape={shape if len(shape) < 24 else 'long'}", f"digits={digits}")
-                        phones = max(phones, end)
-        if s >= ids and first not in "+(" and (m := IDS.match(text, s)):
-            ids = m.end()
-            shape = CAPITAL.sub("A", DIGIT.sub("9", m.group()))
-            # The label nearest to the number says what it numbers.
-            near = text[max(0, s - 40) : s].rpartition("\n")[2]
-            last = max([(x.start(), 1) for x in ID_LABEL.finditer(near)] + [(x.start(), -1) for x in OTHER_LABEL.finditer(near)], default=(0, 0))
-            label = {1: "own", -1: "other", 0: "none"}[last[1]]
-            add(s, ids, "id", m.lastgroup or "", f"shape={shape}", f"label={label}", f"label={label}:{m.lastgroup}")
-        if s >= streets and first.isdigit() and (m := NUMBERED.match(text, s)):
-            streets = m.end()
-            add(s, streets, "address", m.lastgroup or "", f"number={len(DIGITS.match(m.group()).group())}")
-    for m in NAMED.finditer(text):
-        s = m.start()
-        if not s or not (text[s - 1].isalnum() or text[s - 1] in "_./-"):
-            add(s, m.end(), "address", "calle")
-    last = 0  # where the one before ends
-    for m in GERMAN.finditer(text):
-        s, e = m.span()
-        lo, last = last, e
-        street = text.endswith(GERMAN_TAILS, max(0, s - 8), s)
-        w = WORD_LEFT.search(text, max(0, s - 40), s) if street else None
-        if w and text[w.start()].isupper():
-            if GERMAN_ALONE.fullmatch(w.group()):
-                c = CAP_LEFT.search(text, max(0, w.start() - 40), w.start())
-                if c:
-                    add(c.start(), e, "address", "platz")
-                    continue
-            else:
-                add(w.start(), e, "address", "german")
-        at = max(text.rfind(" ", lo, s), text.rfind("\xa0", lo, s))
-        if at > 0 and text[at + 1].isupper() and (left := text[max(0, at - 8) : at].replace("\xa0", " ")).endswith(AT_THE):
-            # Four digits with more behind them are a year, except of a street.
-            if not street and e - s > 5 and len(DIGITS.match(text, s + 1).group()) > 3:
-                continue
-            prep = next(x for x in AT_THE if left.endswith(x))
-            if at == len(prep) or not text[at - len(prep) - 1].isalnum():
-                add(at - len(prep), e, "address", "am", f"am:{text[at + 1 : s].lower()}")
-    for rx, form in ((lexicon.forward, "forward"), (lexicon.capitals, "capitals")):
-        for m in rx.finditer(text):
-            given, initial, particle, fam = m.groups()
-            more = [*lexicon.given_features(given, "given"), *lexicon.family_features(fam, "family")]
-            more += [f"initial={bool(initial)}", f"particle={bool(particle)}", f"parts={fam.count('-')}"]
-            add(m.start(), m.end(), "name", form, *more)
-    for rx, form in ((lexicon.backward, "backward"), (lexicon.inverted, "inverted")):
-        for m in rx.finditer(text):
-            fam, comma, given = m.groups()[:3]
-            before = PARTICLES_LEFT.search(text, max(0, m.start() - 24), m.start())
-            more = [*lexicon.given_features(given, form + "given"), *lexicon.family_features(fam, "family"), f"comma={bool(comma)}", f"parts={fam.count('-')}"]
-            add(before.start() if before else m.start(), m.end(), "name", form, *more)
-    return out
+def cased(words: list[str]) -> str:
+    """The case of words, a sign for each."""
+    return "".join("C" if w[0].isupper() else "0" if w[0].isdigit() else "c" for w in words)
 
 
 class Model:
-    """weights: by feature. Reading a text needs time in proportion to its segments."""
+    """weights by feature. Without weights, proposals carry their features, for fitting."""
 
-    def __init__(self, weights: dict[str, float], lexicon: Lexicon):
+    def __init__(self, weights: dict[str, float] | None, lexicon: Lexicon):
         self.weights, self.lexicon = weights, lexicon
-
-    def score(self, s: Segment) -> float:
+        self._words: dict[tuple[str, str], tuple[float, list[str]]] = {}
+        self._runs: dict[str, list[tuple[int, int, str, float, list[str]]]] = {}
+        self._keys: dict[tuple, tuple[float, list[str]]] = {}
+        self.least: dict[str, float] = {}
+        if weights is not None:
+            # The most that what stands beside a segment can add: the best of each feature's values, and of CONTEXT words.
+            best: dict[str, float] = {}
+            for f, w in weights.items():
+                head = f.split("=")[0]
+                best[head] = max(best.get(head, 0.0), w)
+            step = max([w for f, w in weights.items() if f.startswith("t:")] + [0.0])
+            for k in KINDS:
+                beside = sum(w * (CONTEXT if h == f"{k}:bag" or h == f"{k}:kbag" else 1) for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in BESIDE)
+                self.least[k] = -beside - 2 * step
+            self.steps = {f: w for f, w in weights.items() if f.startswith("t:")}
+
+    def sum(self, features: list[str]) -> float:
         get = self.weights.get
-        return sum(get(f, 0.0) for f in s.features)
+        return sum([get(f, 0.0) for f in features])
+
+    def keyed(self, key: tuple, make) -> tuple[float, list[str]]:
+        """Score and features of what depends on the key alone."""
+        got = self._keys.get(key)
+        if got is None:
+            features = make()
+            got = (self.sum(features), []) if self.weights is not None else (0.0, features)
+            if len(self._keys) >= KEPT:
+                self._keys.clear()
+            self._keys[key] = got
+        return got
+
+    def word(self, word: str, role: str) -> tuple[float, list[str]]:
+        return self.keyed((role, word), lambda: word_features(word, self.lexicon, role))
+
+    def add(self, out: list[Segment], start: int, end: int, kind: str, own: float, features: list[str], beside) -> None:
+        """Keep a proposal, unless nothing beside it could make it worth while."""
+        if self.weights is None:
+            out.append(Segment(start, end, kind, 0.0, features + beside()))
+        elif own > self.least[kind]:
+            score = own + self.sum(beside())
+            if score > -2 * abs(max(self.steps.values(), default=0.0)):
+                out.append(Segment(start, end, kind, score))
+
+    def segments(self, text: str) -> list[Segment]:
+        """All segments that a text may hold."""
+        out: list[Segment] = []
+        view = View(text)
+        self._emails(view, out)
+        self._numbers(view, out)
+        self._addresses(view, out)
+        self._names(view, out)
+        return out
+
+    # --- each kind's segments
+
+    def _emails(self, view: View, out: list[Segment]) -> None:
+        text = view.text
+        for a in AT.finditer(text):
+            sign = a.group().strip()
+            m = DOMAIN.match(text, a.end())
+            if not m:
+                continue
+            s = a.start()
+            lo = s
+            while lo and (text[lo - 1].isalnum() or text[lo - 1] in "._+-'’%"):
+                lo -= 1
+            while lo < s and text[lo] in "._+-'’%":
+                lo += 1
+            if lo == s or text[s - 1] in "._'’":
+                continue
+            starts = [lo]
+            spelled = sign.lower() == "at" or sign[0] in "[({<"
+            if spelled and (w := SPELLED_LEFT.search(text, text.rfind("\n", 0, lo) + 1, lo)):
+                starts.append(w.start())
+            form = "sign" if sign == "@" and len(a.group()) == 1 else "wide" if sign == "@" else "word" if sign.lower() == "at" else "bracket"
+            ends = [d.start() for d in DOTS.finditer(text, m.start(), m.end())][1:] + [m.end()]
+            for e in ends:
+                value = text[m.start() : e]
+                labels = [x for x in DOTS.split(value) if x]
+                tld = labels[-1].lower()
+                if not tld.isalpha() or len(tld) < 2:
+                    continue
+                dots = "plain" if "." in value else "spelled"
+                rest = "end" if e == m.end() else "more"
+                for b in starts:
+                    local = text[b:s]
+                    low = [p for p in re.split(r"[^^\W\d_]+", local.lower()) if len(p) > 1]
+                    named = any(p in self.lexicon.given or p in self.lexicon.family or self.lexicon.stem(p) for p in low)
+                    plain = local.isalpha()
+                    f = [f"email:form={form}", f"email:dots={form}{dots}", f"email:rest={rest}", f"email:tld={tld if len(tld) < 8 else 'long'}", f"email:form={form}{dots}{'short' if len(tld) < 5 else 'long'}{rest}", f"email:known={form}{tld in TLDS}", f"email:named={form}{named}", f"email:plain={form}{plain}", f"email:spelled={b != lo}", f"email:start={len(starts)}{b == starts[-1]}"]
+                    if plain and form == "word":
+                        f.append(f"email:local={local.lower()}")
+                        f.append(f"email:function={local.lower() in FUNCTION}")
+                    self.add(out, b, e, "email", self.sum(f) if self.weights is not None else 0.0, f, lambda b=b, e=e: [f"email:l={view.left(b)}", f"email:r={view.right(e)}", *(f"email:bag={w}" for w in view.before(b)[:2])])
+
+    def _numbers(self, view: View, out: list[Segment]) -> None:
+        text = view.text
+        for m in NUMBERS.finditer(text):
+            run = m.group()
+            if len(run) < 7:
+                continue
+            shape = LATER.sub("9", run.translate(CLASSES))
+            if run.startswith("00"):
+                shape = "08" + shape[2:]
+            got = self._runs.get(shape)
+            if got is None:
+                got = self._spans(shape)
+                if len(self._runs) >= KEPT:
+                    self._runs.clear()
+                self._runs[shape] = got
+            if not got:
+                continue
+            at = m.start()
+            if m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] == "_"):
+                got = [g for g in got if g[1] < len(run)]
+            for s, e, kind, own, f in got:
+                s, e = at + s, at + e
+                self.add(out, s, e, kind, own, f, lambda s=s, e=e, kind=kind: self._beside_number(view, s, e, kind))
+
+    @staticmethod
+    def _beside_number(view: View, s: int, e: int, kind: str) -> list[str]:
+        ws = view.before(s)
+        t = view.text
+        dense = "".join(c for c in t[s:e] if c.isalnum())
+        letters = "d" if dense.isdigit() else "a"
+        out = [f"{kind}:l={view.left(s)}", f"{kind}:r={view.right(e)}", f"{kind}:w1={ws[0] if ws else '^'}"]
+        out += [f"{kind}:bag={w}" for w in dict.fromkeys(ws)]
+        out += [f"{kind}:kbag={letters}{w}" for w in dict.fromkeys(ws)]
+        out.append(f"{kind}:next={'.d' if re.match(r'[.,/:-][0-9]', t[e : e + 2]) else '_d' if re.match(r'[ ][0-9]', t[e : e + 2]) else 'no'}")
+        out.append(f"{kind}:prev={'.d' if re.search(r'[0-9][.,/:-]$', t[max(0, s - 2) : s]) else '_d' if re.search(r'[0-9][ ]$', t[max(0, s - 2) : s]) else 'no'}")
+        return out
+
+    def _spans(self, shape: str) -> list[tuple[int, int, str, float, list[str]]]:
+        """Stretches of groups of a run of numbers, given by the shape of the run, that may be a phone number or an id."""
+        groups = [(g.start(), g.end()) for g in GROUP.finditer(shape)]
+        out = []
+        for i, (s0, _) in enumerate(groups):
+            for j in range(i, len(groups)):
+                e = groups[j][1]
+                body = shape[s0:e]
+                digits = sum(c.isdigit() for c in body)
+                if digits > 18 or e - s0 > 40:
+                    break
+                if digits < 6:
+                    continue
+                letters = any(c.isalpha() for c in body)
+                cut = f"{i > 0}{j < len(groups) - 1}"
+                inner = [shape[groups[k][1] : groups[k + 1][0]] for k in range(i, j)]
+                sizes = "-".join(str(b - a) for a, b in groups[i : j + 1])
+                kinds = []
+                if not letters and 7 <= digits <= 15:
+                    for s in {s0, s0 - 1 if s0 and shape[s0 - 1] in "+(" else s0, s0 - 2 if s0 > 1 and shape[s0 - 2 : s0] in ("+(", "(+") else s0}:
+                        v = shape[s:e]
+                        if v.count("(") != v.count(")"):
+                            continue
+                        kinds.append(("phone", s, v))
+                if not any(c in body for c in "()/"):
+                    kinds.append(("id", s0, body))
+                for kind, s, v in kinds:
+                    head = re.match(r"[+(]*", v).group()
+                    first = v[len(head)]
+                    start = head + ("00" if v[len(head) + 1 : len(head) + 2] == "8" else first)
+                    seps = "".join(sorted(set("".join(inner).replace("\xa0", " "))))
+                    lead = "+" if s == s0 and s0 and shape[s0 - 1] == "+" else "(" if s == s0 and s0 and shape[s0 - 1] == "(" else ""
+                    f = [
+                        f"{kind}:cut={cut}", f"{kind}:lead={lead}", f"{kind}:start={start}", f"{kind}:digits={digits}", f"{kind}:groups={j - i + 1}", f"{kind}:seps={seps}", f"{kind}:sd={start}{digits}", f"{kind}:sizes={sizes}", f"{kind}:ss={start}{sizes}{seps}", f"{kind}:sg={start}{seps}{j - i + 1}{digits}",
+                        f"{kind}:shape={re.sub('[0-9]', '9', v)}", f"{kind}:big={max(b - a for a, b in groups[i : j + 1])}", f"{kind}:small={min(b - a for a, b in groups[i : j + 1])}{j - i + 1}", f"{kind}:sc={start}{seps}",
+                    ]
+                    if kind == "id":
+                        f.append(f"id:letters={letters}")
+                        f.append(f"id:ends={'A' if v[0].isalpha() else '9'}{'A' if v[-1].isalpha() else '9'}")
+                    out.append((s, e, kind, self.sum(f) if self.weights is not None else 0.0, f if self.weights is None else []))
+        if self.weights is not None:
+            out = [x for x in out if x[3] > self.least[x[2]]]
+        return out
+
+    def _street(self, words: tuple[str, ...], form: str, house: str, flat: bool) -> tuple[float, list[str]]:
+        def make() -> list[str]:
+            low = [w.lower().rstrip(".") for w in words]
+            digits = sum(c.isdigit() for c in house)
+            f = [f"address:form={form}", f"address:n={form}{len(words)}", f"address:case={form}{cased(list(words))}", f"address:digits={form}{digits}", f"address:house={form}{'x' if not house.isdigit() else '0' if house[0] == '0' else '9'}", f"address:flat={flat}"]
+            f += [f"address:first={form}{low[0]}", f"address:last={form}{low[-1]}", f"address:s4={form}{low[-1][-4:]}", f"address:s6={form}{low[-1][-6:]}", f"address:s3={form}{low[-1][-3:]}", f"address:fl={form}{low[0] in FUNCTION}{low[-1] in FUNCTION}", f"address:small={form}{sum(w[0].islower() and x not in FUNCTION and x not in LOW_STREETS for w, x in zip(words, low))}", f"address:big={form}{sum(w[0].isupper() and x in FUNCTION for w, x in zip(words[1:], low[1:]))}"]
+            if len(words) > 1:
+                f += [f"address:two={form}{low[0]} {low[1]}" if low[0] in FUNCTION else f"address:sec={form}{low[1]}", f"address:in={form}{any(w in LOW_STREETS for w in low[1:-1])}", f"address:butlast={form}{low[-2]}", f"address:bs3={form}{low[-2][-3:]}"]
+            return f
+
+        digits = sum(c.isdigit() for c in house)
+        return self.keyed(("street", words, form, f"{'0' if house[0] == '0' else '9'}{digits}{'' if house.isdigit() else 'x'}", flat), make)
+
+    def _addresses(self, view: View, out: list[Segment]) -> None:
+        text = view.text
+        for h in HOUSE.finditer(text):
+            s, e = h.span()
+            house = h.group()
+            # The number first: words behind it.
+            at = e
+            if at < len(text) and text[at] == ",":
+                at += 1
+            words: list[str] = []
+            front = "front" if at == e else "front,"
+            if at < len(text) and text[at] in " \xa0":
+                at += 1
+                while len(words) < STREET_WORDS and (w := STREET_WORD.match(text, at)):
+                    word = w.group()
+                    stop = word.endswith(".") and word[:-1].lower() not in ABBREVIATED
+                    if stop:
+                        word = word[:-1]
+                    if not words and not (word[0].isupper() or word.lower() in LOW_STREETS):
+                        break
+                    words.append(word)
+                    end = w.start() + len(word)
+                    if word[0].isupper() or word.lower() in LOW_STREETS:
+                        self._address(view, out, s, end, tuple(words), front, house)
+                    if stop or end >= len(text) or text[end] not in " \xa0":
+                        break
+                    at = end + 1
+            # The number last: words before it.
+            b = s
+            gap = re.search(rf"(?:,?{S}(?:n\.?º|nº|núm\.|no\.|nr\.|Nr\.|numero|número)?{S}?|,{S})\Z", text[max(0, s - 12) : s])
+            if not gap or not gap.group():
+                continue
+            b = s - len(gap.group())
+            words = []
+            while len(words) < STREET_WORDS and b > 0:
+                p = b
+                while p and (text[p - 1].isalnum() or text[p - 1] in "'’-./"):
+                    p -= 1
+                word = text[p:b]
+                if not word or not word[0].isalpha() or "." in word[:-1]:
+                    break
+                if words and word[-1] == "." and word[:-1].lower() not in ABBREVIATED | {"avda", "c", "pza", "ctra"}:
+                    break
+                words.insert(0, word)
+                if word[0].isupper() or word.lower() in LOW_STREETS:
+                    self._address(view, out, p, e, tuple(words), "back", house)
+                if not p or text[p - 1] not in " \xa0":
+                    break
+                b = p - 1
+
+    def _address(self, view: View, out: list[Segment], s: int, e: int, words: tuple[str, ...], form: str, house: str) -> None:
+        text = view.text
+        ends = [(e, False)]
+        if m := FLAT.match(text, e):
+            ends.append((m.end(), True))
+        for end, flat in ends:
+            own, f = self._street(words, form, house, flat)
+
+            def beside(s=s, end=end) -> list[str]:
+                ws = view.before(s)
+                return [f"address:l={view.left(s)}", f"address:r={view.right(end)}", f"address:w1={ws[0] if ws else '^'}", *(f"address:bag={w}" for w in dict.fromkeys(ws[:4])), f"address:line={view.line(s)}", f"address:open={len(ends) > 1 and not flat}", f"address:low={form}{view.lower(words[-1].lower())}"]
+
+            self.add(out, s, end, "address", own, f, beside)
+
+    def _names(self, view: View, out: list[Segment]) -> None:
+        text = view.text
+        for m in RUN.finditer(text):
+            pieces = [(p.start(), p.end(), p.lastindex) for p in PIECE.finditer(text, m.start(), m.end())]
+            n = len(pieces)
+            for i in range(n):
+                if pieces[i][2] == 1 or (pieces[i][2] == 3 and text[pieces[i][0] : pieces[i][1]] not in PARTICLES):
+                    continue
+                words = 0
+                comma = -1
+                for j in range(i, n):
+                    s, e, what = pieces[j]
+                    if what == 1:
+                        if comma >= 0 or j == i:
+                            break
+                        comma = j
+                        continue
+                    words += 1
+                    if words > NAME_WORDS:
+                        break
+                    if what == 3 and text[s:e] not in PARTICLES:
+                        break
+                    if what == 2 and words > 1:
+                        self._name(view, out, pieces[i : j + 1], comma - i if comma >= 0 else -1)
+        if "一" <= max(text, default="") and not text.isascii():
+            for m in HAN.finditer(text):
+                for e in range(m.start() + 2, m.end() + 1):
+                    f = [f"name:han={e - m.start()}"]
+                    b = text[max(0, m.start() - 2) : m.start()]
+                    self.add(out, m.start(), e, "name", self.sum(f) if self.weights is not None else 0.0, f, lambda b=b, e=e: [f"name:hl2={b}", f"name:hl={b[-1:]}", f"name:hr={text[e : e + 1]}", f"name:hr2={text[e : e + 2]}"])
+
+    def _name(self, view: View, out: list[Segment], pieces: list[tuple[int, int, int]], comma: int) -> None:
+        text = view.text
+        start, end = pieces[0][0], pieces[-1][1]
+        words = [text[s:e] for s, e, k in pieces if k != 1]
+        real = [w for w in words if not w.endswith(".") and w not in PARTICLES]
+        if len(real) < 2 and not (len(real) == 1 and words[0].endswith(".")):
+            return
+        caps = sum(w.isupper() and len(w) > 1 for w in real)
+        first, last = words[0], words[-1]
+        if comma >= 0:
+            # Family name first: the words up to the comma, then given names.
+            head = [text[s:e] for s, e, k in pieces[:comma]]
+            family, given, order = head[-1], text[pieces[comma + 1][0] : pieces[comma + 1][1]], "comma"
+            roles = [*((w, "M") for w in head[:-1]), (family, "F"), (given, "G"), *((w, "M") for w in words[len(head) + 1 :])]
+        else:
+            order, roles = "given", [(first, "G"), *((w, "M") for w in words[1:-1]), (last, "F")]
+            if not last.endswith(".") and self._family_first(first, last):
+                order, roles = "family", [(first, "F"), *((w, "M") for w in words[1:-1]), (last, "G")]
+        pattern = "".join("p" if w in PARTICLES else "I" if w.endswith(".") else "X" if w.isupper() and len(w) > 1 else "C" for w, _ in roles)
+        own, f = self.keyed(("name", order, pattern, caps == len(real), bool(caps)), lambda: [f"name:order={order}", f"name:pattern={order}{pattern}", f"name:caps={order}{'all' if caps == len(real) else 'some' if caps else 'no'}"])
+        score, features, known = own, list(f), ""
+        for w, r in roles:
+            x, f = self.word(w, r)
+            score += x
+            features += f
+            if r != "M":
+                low = w.lower().split("-")[0 if r == "G" else -1]
+                known += r + ("g" if low in self.lexicon.given else "") + ("f" if low in self.lexicon.family or self.lexicon.stem(low) else "") + ("u" if low in FUNCTION else "")
+        x, f = self.keyed(("known", order, known), lambda: [f"name:known={order}{known}"])
+        score += x
+        features += f
+
+        def beside() -> list[str]:
+            ws = view.before(start)
+            left, right = view.left(start), view.right(end)
+            out = [f"name:l={left}", f"name:r={right}", f"name:w1={ws[0] if ws else '^'}", f"name:line={view.line(start)}"]
+            out += [f"name:bag={w}" for w in dict.fromkeys(ws[:3])]
+            out += [f"name:low={order}{view.lower(first.lower())}{view.lower(last.lower())}"]
+            cut = "no"
+            if left == "_a" or left == "_.":
+                p = start - 2
+                while p >= 0 and (text[p].isalnum() or text[p] in "'’-."):
+                    p -= 1
+                w = text[p + 1 : start - 1]
+                if w and w[0].isupper():
+                    k = w.rstrip(".").lower()
+                    cut = "title" if k in TITLES else "function" if k in FUNCTION else "given" if k in self.lexicon.given else "cap" if left == "_a" else "stop"
+                elif w.lower() in PARTICLES:
+                    cut = "particle"
+            out.append(f"name:cutl={cut}")
+            cut = "no"
+            if right == "_A":
+                p = end + 1
+                while p < len(text) and (text[p].isalnum() or text[p] in "'’-"):
+                    p += 1
+                k = text[end + 1 : p].lower()
+                cut = "initial" if p - end == 2 and text[p : p + 1] == "." else "function" if k in FUNCTION else "family" if k in self.lexicon.family or self.lexicon.stem(k) else "cap"
+            elif right == "_a":
+                p = end + 1
+                while p < len(text) and text[p].isalnum():
+                    p += 1
+                k = text[end + 1 : p]
+                cut = "particle" if k in PARTICLES else "no"
+            out.append(f"name:cutr={cut}")
+            n = WORD.match(text, end + 1) if right in ("_a", "_A") else None
+            out.append(f"name:n1={n.group().lower() if n else right}")
+            return out
+
+        self.add(out, start, end, "name", score, features, beside)
+
+    def _family_first(self, first: str, last: str) -> bool:
+        """Whether the list says that the family name stands first."""
+        f, g, lex = first.lower(), last.lower(), self.lexicon
+        return (g in lex.given or f in lex.family) and f not in lex.given and (f in lex.family or bool(lex.stem(f)))
+
+    # --- reading
+
+    def step(self, text: str, a: Segment, b: Segment) -> str:
+        """The feature of two segments with no word between them."""
+        gap = text[a.end : b.start]
+        return f"t:{a.kind}>{b.kind}:{'n' if chr(10) in gap else ',' if ',' in gap else 'o' if gap.strip() else '_'}"
 
-    def best(self, found: list[Segment]) -> list[Segment]:
-        """The segments, without overlap, whose scores add up to the most."""
-        good = [(s, x) for s in found if (x := self.score(s)) > 0]
-        if not good:
+    def read(self, text: str | None) -> list[Segment]:
+        """The segments, without overlap, whose scores and factors between neighbours add up to the most."""
+        if not text:
             return []
-        good.sort(key=lambda p: (p[0].end, p[0].start, p[0].kind))
-        ends = [s.end for s, _ in good]
-        total, take = [0.0], []
-        for i, (s, x) in enumerate(good):
-            k = bisect.bisect_right(ends, s.start, 0, i)
-            take.append((total[k] + x > total[i], k))
-            total.append(max(total[i], total[k] + x))
-        out, i = [], len(good)
-        while i:
-            use, k = take[i - 1]
-            if use:
-                out.append(good[i - 1][0])
-                i = k
-            else:
-                i -= 1
+        found = self.segments(text)
+        if not found:
+            return []
+        found.sort(key=lambda s: (s.end, s.start, s.kind))
+        ends = [s.end for s in found]
+        # total[i]: the best reading that ends with segment i; upto[i]: the best of all before i, and which.
+        total: list[float] = []
+        back: list[int] = []
+        upto: list[tuple[float, int]] = [(0.0, -1)]
+        for i, s in enumerate(found):
+            near = adjacent(text, s.start)
+            k = bisect.bisect_left(ends, near, 0, i)
+            best, via = upto[k]
+            for j in range(k, bisect.bisect_right(ends, s.start, k, i)):
+                x = total[j] + self.steps.get(self.step(text, found[j], s), 0.0)
+                if x > best:
+                    best, via = x, j
+            total.append(best + s.score)
+            back.append(via)
+            upto.append(max(upto[-1], (total[i], i), key=lambda t: t[0]))
+        out, i = [], upto[-1][1]
+        while i >= 0:
+            out.append(found[i])
+            i = back[i]
         return out[::-1]
 
-    def read(self, text: str | None) -> list[Segment]:
-        return self.best(segments(text, self.lexicon)) if text else []
+
+#: Features of what stands beside a segment.
+BESIDE = frozenset("n1 l r w1 bag kbag next prev line open low cutl cutr hl hl2 hr hr2".split())
 
 
-def log_add(a: float, b: float) -> float:
-    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+def adjacent(text: str, start: int) -> int:
+    """Where a segment ends at least, for no word to stand between it and start."""
+    while start and not text[start - 1].isalnum():
+        start -= 1
+    return start
 
 
 def find(documents: DataFrame, names: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -302,12 +625,15 @@ def find(documents: DataFrame, names: DataFrame, weights: dict[str, float] | Non
     redacted: the text with [EMAIL], [PHONE], [ID], [ADDRESS] or [NAME] in the place of each finding
     and otherwise unchanged; null for a null text. found: in the order of the text, start in
     characters from 0; empty where there is nothing. Bytes that aren't UTF-8 count as U+FFFD. names:
-    name_type (given, family), name; nulls are ignored; the list, of fixed size, is broadcast.
-    Repeated rows each count; other columns are ignored; an empty table gives no rows.
+    name_type (given, family), name; nulls are ignored; at most LEXICON distinct rows, which are
+    broadcast, ValueError beyond. Repeated rows each count; other columns are ignored; an empty table
+    gives no rows.
     """
     spark = documents.sparkSession
     ship(spark)
-    listed = [(r[0], r[1]) for r in names.select("name_type", "name").distinct().collect()]
+    listed = [(r[0], r[1]) for r in names.select("name_type", "name").distinct().limit(LEXICON + 1).collect()]
+    if len(listed) > LEXICON:
+        raise ValueError(f"more than {LEXICON} names")
     weights = weights if weights is not None else json.loads(WEIGHTS.read_text())
     shared = spark.sparkContext.broadcast((weights, listed))
 
