@@ -392,13 +392,11 @@ def test_leaks(spark, shortest):
     assert {tuple(x) for x in got.collect()} == brute_leaks(docs, items)
 
 
-def test_leak_edges(spark, monkeypatch):
+def test_leak_edges(spark):
     docs = spark.createDataFrame([(1, "one two THREE four"), (None, "one two three four five"), (2, None), (3, ""), (4, LONG), (1, "one two THREE four")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "One, two; three four", 1), (8, "", 1), (9, None, 1), (10, "dolor lorem " * 1, 1), (11, "One two three four", 1)], "item_id long, text string, doc_id long")
     want = {(1, 7), (None, 7), (1, 11), (None, 11), (4, 10)}
     assert {tuple(x) for x in leak.leaks(docs, items).collect()} == want
-    monkeypatch.setattr(leak, "ITEM_WORDS", 5)  # one item at a time
-    assert {tuple(x) for x in leak.leaks(docs, items).collect()} == want
     assert leak.leaks(docs.where("false"), items).count() == 0
     assert leak.leaks(docs, items.where("false")).count() == 0
 
