@@ -93,6 +93,36 @@ def release(df: DataFrame) -> None:
     _written.remove((spark, path))
 
 
+def publish(df: DataFrame, path: str) -> bool:
+    """Write df as the parquet folder path, whole or not at all; False where the folder is there already.
+
+    The table is written beside it and renamed, so a run that is lost leaves nothing that counts, and of two runs one wins.
+    """
+    spark = df.sparkSession
+    p, fs = _files(spark, path)
+    if fs.exists(p):
+        return False
+    half, _ = _files(spark, f"{p.getParent().toString()}/_half-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(half.toString())
+    won = not fs.exists(p) and fs.rename(half, p)
+    if not won:
+        fs.delete(half, True)
+    return won
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders within a folder; none where it isn't there."""
+    p, fs = _files(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _remember(spark, path)
+    return path
+
+
 def _sweep() -> None:
     for spark, path in _written:
         try:
