@@ -1,6 +1,7 @@
 """Problem 6: a sample that stays the same as the data grows.
 
-The ledger is a table of the keys chosen so far. A later run keeps all of them by a join, and fills
+The ledger is a table of the keys chosen so far, a folder with a part for each run, which a run adds
+whole or not at all. A later run keeps all of them by a join, and fills
 the quota's growth from keys not seen in the ledger, those of lowest hash first. The quota's place
 among the hashes is found by counting keys per hash range and reading only the one range it falls in.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusmix.functions.rng import uniform, uniform_sql
 from corpusmix.llm.common import table
 from corpusmix.operators.order import number_rows
-from corpusmix.shared import materialize
+from corpusmix.shared import folders, materialize, publish, temporary
 
 RATE, SEED = 0.1, 20
 #: Ranges of equal width over the hashes; the one that the quota falls in is sorted.
@@ -57,12 +58,32 @@ def grow(keys: DataFrame, ledger: DataFrame | None, rate: float = RATE, seed: in
     return ledger.unionByName(below.unionByName(edge).select("key", "priority", F.lit(run).alias("run")))
 
 
-def batches(records: DataFrame, runs: list[int], rate: float = RATE, seed: int = SEED) -> DataFrame:
-    """The ledger after taking the records up to each batch of runs in turn."""
-    ledger = None
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept at a path; None before its first run."""
+    runs = [f for f in folders(spark, path) if f.startswith("run=")]
+    if not runs:
+        return None
+    return spark.read.schema("key string, priority double, run int").option("basePath", path).parquet(*[f"{path}/{r}" for r in runs])
+
+
+def update(keys: DataFrame, path: str, run: int, rate: float = RATE, seed: int = SEED) -> DataFrame:
+    """The ledger at path after adding what a run chooses from keys (see grow).
+
+    The run's own rows become a folder of the ledger at once, when they are complete; a run that is
+    there already, or that another driver adds meanwhile, isn't chosen again.
+    """
+    spark = keys.sparkSession
+    if f"run={run}" not in folders(spark, path):
+        new = grow(keys, read_ledger(spark, path), rate, seed, run).where(F.col("run") == run)
+        publish(new.select("key", "priority"), f"{path}/run={run}")
+    return read_ledger(spark, path)
+
+
+def batches(records: DataFrame, runs: list[int], path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
+    """The ledger at path after taking the records up to each batch of runs in turn."""
+    ledger = read_ledger(records.sparkSession, path)
     for n in runs:
-        keys = records.where(F.col("batch_no") <= n).select(key().alias("key"))
-        ledger = materialize(grow(keys, ledger, rate, seed, n), "ledger")
+        ledger = update(records.where(F.col("batch_no") <= n).select(key().alias("key")), path, n, rate, seed)
     return ledger
 
 
@@ -72,7 +93,7 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = records.agg(F.max("batch_no")).first()[0] or 0
     keyed = materialize(records.select("row_id", "batch_no", key().alias("key")), "keyed")
     own = keyed.select(F.col("key").alias("doc_id"), F.lit(None).cast("string").alias("text"), "batch_no")
-    ledger = batches(own, [n for n in (4, 8) if n < last] + [last])
+    ledger = batches(own, [n for n in (4, 8) if n < last] + [last], temporary(spark, "ledger"))
     return keyed.join(ledger, "key").select("row_id", F.col("key").alias("doc_id"), F.col("run").alias("since_batch"))
 
 
