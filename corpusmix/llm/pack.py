@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmix.llm.common import SIZE_SQL, record_size, table
 from corpusmix.operators.order import number_rows
+from corpusmix.shared import materialize
 
 PLAN = "_pack string, _size long, _from long, _to long, _bin long, _each long"
 
@@ -115,7 +116,8 @@ def pieces(records: DataFrame, specs: DataFrame) -> DataFrame:
     """
     spark = records.sparkSession
     packs = dict(specs.where("pack_id is not null and capacity >= 1").groupBy("pack_id").agg(F.max("capacity")).collect())
-    sized = records.select(F.col("row_id").alias("_row"), record_size().alias("_n"))
+    # Texts are read once, for their length.
+    sized = materialize(records.select(F.col("row_id").alias("_row"), record_size().alias("_n")), "sizes")
     cut = F.explode(F.array(*[F.struct(F.lit(p).alias("_pack"), F.lit(c).cast("long").alias("_cap")) for p, c in sorted(packs.items())] or [F.expr("named_struct('_pack', cast(null as string), '_cap', 1L)")]))
     every = sized.select("_row", "_n", cut.alias("_x")).select("_row", "_n", "_x._pack", "_x._cap").where("_pack is not null")
     every = every.withColumn("_whole", F.when(F.col("_n") > F.col("_cap"), F.expr("_n div _cap")).otherwise(0)).withColumn("_size", F.col("_n") - F.col("_whole") * F.col("_cap"))
