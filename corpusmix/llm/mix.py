@@ -16,6 +16,9 @@ from corpusmix.llm.common import DOMAINS, SIZE_SQL, record_size, table
 from corpusmix.operators.order import number_rows
 from corpusmix.shared import materialize
 
+#: Slots by which a domain's number of slots may differ from its weight of them: the points of N slots in a stretch of the
+#: line differ from its share by at most a few times log(N), below this for any N that can be.
+SLACK = 64
 #: Tokens of a slot. Shares are met to about a slot and a record for each domain.
 BLOCK = 256
 GOLDEN = 0.6180339887498949
@@ -36,7 +39,8 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 0, block: int = BLOC
     positive draw nothing but stand in the report; equal rows count once.
     chosen: mix_id, domain, row_id, repeats (1..max_repeats), tokens (of all repeats), first_slot.
     shares: a row per row of targets with the pool's and the drawn tokens and records, the share
-    aimed at and reached, and whether max_repeats times the domain is too little for its weight.
+    reached, the domain's slots and how many of them have no block, and whether the domain is too
+    small: it has slots without a block, or nearly, and max_repeats times it is less than its weight.
     Empty tables give no chosen rows.
     """
     spark = records.sparkSession
@@ -44,9 +48,10 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 0, block: int = BLOC
     targets = targets.select(*keys).distinct()
     pool = records.where(F.col("domain").between(0, DOMAINS - 1)).select("row_id", F.col("domain").alias("_domain"), record_size().alias("_size"))
     pool = pool.withColumn("_shuffle", F.xxhash64(F.lit(seed), "row_id"))
-    laid = number_rows(pool, ["_domain"], ["_shuffle", "row_id"], "_size", "_nth", "_start")
+    laid = number_rows(materialize(pool, "pool"), ["_domain"], ["_shuffle", "row_id"], "_size", "_nth", "_start")
     totals = {d: t for d, t in laid.groupBy("_domain").agg(F.sum("_size")).collect()}  # at most 22 rows
     everything = sum(totals.values())
+    sums: dict[str, float] = {}
     plans = []  # the rows of targets: mixes times 22 domains
     lines = [r.asDict() for r in targets.collect()]
     for m in sorted({r["mix_id"] for r in lines if r["mix_id"] is not None}):
@@ -55,6 +60,7 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 0, block: int = BLOC
         # A mix's size; of different budget_shares for a mix the largest counts.
         size = max([r["budget_share"] for r in own], default=0) * everything
         slots, at, whole = -(-int(size) // block), 0.0, sum(r["weight"] for r in own)
+        sums[m] = max(1.0, whole)
         for r in own:
             plans.append((m, r["domain"], at, at + r["weight"] / whole if r is not own[-1] else 1.0, max(0, r["max_repeats"]), slots, totals.get(r["domain"], 0)))
             at += r["weight"] / whole
@@ -69,7 +75,7 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 0, block: int = BLOC
     small = F.broadcast(lay)  # mixes times domains
     slots = points.join(small, "_mix").where("_from <= _point and _point < _to").select("_mix", "_d", "_slot")
     ranked = materialize(number_rows(slots, ["_mix", "_d"], ["_slot"], rank="_block"), "schedule")
-    drawn = ranked.groupBy("_mix", "_d").agg(F.count(F.lit(1)).alias("_n"))
+    drawn = materialize(ranked.groupBy("_mix", "_d").agg(F.count(F.lit(1)).alias("_n")), "drawn")  # mixes times domains
     use = F.broadcast(lay.join(drawn, ["_mix", "_d"]))
     # Only the passes over a record whose block a slot takes are laid out.
     passes = laid.join(use, F.col("_domain") == F.col("_d")).withColumn("_e", F.least(F.col("_max"), F.ceil((F.col("_n") * block - F.col("_start")) / F.col("_total"))).cast("int")).where("_e > 0")
@@ -83,8 +89,14 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 0, block: int = BLOC
     have = F.try_element_at(F.create_map(*[x for d in totals for x in (F.lit(d).cast("long"), F.lit(totals[d]).cast("long"))]), F.col("domain").cast("long")) if totals else F.lit(None).cast("long")
     want = F.col("weight") * F.col("budget_share") * F.lit(everything)
     shares = targets.join(got, (F.col("mix_id") == F.col("_m")) & (F.col("domain") == F.col("_g")), "left").join(mixed, F.col("mix_id") == F.col("_mm"), "left")
+    slots_of = drawn.select(F.col("_mix").alias("_sm"), F.col("_d").alias("_sd"), F.col("_n").alias("slots"))
+    shares = shares.join(F.broadcast(slots_of), (F.col("mix_id") == F.col("_sm")) & (F.col("domain") == F.col("_sd")), "left")
     pooled = F.when(F.col("domain").between(0, DOMAINS - 1), F.coalesce(have, F.lit(0)))
-    shares = shares.select(*keys, pooled.alias("pool_tokens"), zero("tokens").alias("tokens"), zero("records").alias("records"), (zero("tokens") / F.col("mix_tokens")).alias("share"), (F.col("max_repeats") * pooled < want).alias("too_small"))
+    scale = F.try_element_at(F.create_map(*[F.lit(x) for p in sums.items() for x in p]), F.col("mix_id")) if sums else F.lit(1.0)
+    blocks = F.ceil(F.greatest(F.col("max_repeats"), F.lit(0)) * F.coalesce(pooled, F.lit(0)) / block).cast("long")
+    shares = shares.select(*keys, pooled.alias("pool_tokens"), zero("tokens").alias("tokens"), zero("records").alias("records"), zero("slots").alias("slots"), F.greatest(F.lit(0).cast("long"), zero("slots") - blocks).alias("empty_slots"), (zero("slots") * scale - blocks + SLACK > 0).alias("_short"), (zero("tokens") / F.col("mix_tokens")).alias("share"), (F.col("max_repeats") * pooled < want).alias("_lacks"))
+    # Slots without a block, or nearly, name the domain; the totals decide those within a slot of it.
+    shares = shares.withColumn("too_small", F.col("_short") & F.col("_lacks")).drop("_short", "_lacks")
     return Mix(chosen, ranked.select(F.col("_mix").alias("mix_id"), F.col("_d").alias("domain"), F.col("_slot").alias("slot"), F.col("_block").alias("block")), shares)
 
 
