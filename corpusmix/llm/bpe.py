@@ -9,6 +9,7 @@ can reach. Once that many bytes behind a token are known, the token is final and
 from __future__ import annotations
 
 import codecs
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -57,6 +58,8 @@ class Bpe:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merge of lowest rank, all its places from the left, until none applies."""
+        if len(ids) > 128:
+            return self._merge_long(ids)
         rank, none = self.rank, 1 << 60
         while len(ids) > 1:
             pairs = [rank.get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
@@ -74,6 +77,27 @@ class Bpe:
             ids = out
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same, with the places of merges in a heap and the symbols in a linked list."""
+        rank, n = self.rank, len(ids)
+        ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank.get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank.get(ids[i] << 32 | ids[j]) != r:
+                continue
+            ids[i], ids[j] = self.made[r], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (x := rank.get(ids[i] << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (x, i))
+            if (p := before[i]) >= 0 and (x := rank.get(ids[p] << 32 | ids[i])) is not None:
+                heapq.heappush(heap, (x, p))
+        return [x for x in ids if x >= 0]
+
     def stream(self, data: Iterable[bytes]) -> Iterator[int]:
         """The ids of one piece that comes in parts; keeps at most window bytes and a part."""
         buffer, of = b"", self.of_byte
@@ -95,7 +119,7 @@ class Bpe:
         data = text.encode("utf-8", "replace")
         if len(data) <= self.window:
             return tuple(self.merge([self.of_byte[b] for b in data]))
-        return tuple(self.stream((data,)))
+        return tuple(self.stream(data[i : i + self.window] for i in range(0, len(data), self.window)))
 
 
 def lookahead(tokens: list[bytes], merges: list[tuple[int, int]], made: list[int]) -> int:

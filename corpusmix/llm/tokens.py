@@ -19,6 +19,8 @@ from corpusmix.shared import ship, spread
 
 #: Distinct pieces a task holds; beyond it they are forgotten and merged anew where they recur.
 HELD = 1 << 20
+#: Characters of a piece beyond which it goes through the transducer of bpe.py.
+LONG = 256
 
 
 def tokens(records: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
@@ -41,6 +43,10 @@ def tokens(records: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
             if len(held) > HELD:
                 held.clear()
             new = list(set().union(*pieces).difference(held))
+            # Rounds over all pieces are as many as the longest one needs: pieces beyond the window are streamed.
+            long = [p for p in new if len(p) > LONG]
+            held.update((p, len(shared.value.piece(p))) for p in long)
+            new = [p for p in new if len(p) <= LONG]
             if new:
                 held.update(zip(new, rounds.counts([p.encode("utf-8", "replace") for p in new]).tolist()))
             get = held.__getitem__

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusmix import shared
 from corpusmix.llm import bpe, common, cutoff, encode, leak, mix, neardup, pack, pii, pii_train, queries, sample, tokens
 from corpusmix.llm.words import words
 
@@ -264,6 +265,17 @@ def test_mix(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, chosen))
 
 
+def test_small_domains_are_those_of_the_totals(spark):
+    r = random.Random(4)
+    data = [(i, None, "x" * 4 * n, n, r.randrange(9), [], None, None, 1) for i in range(900) for n in [r.randrange(1, 400)]]
+    total = [sum(x[3] for x in data if x[4] == d) for d in range(9)]
+    rows = [(f"m{k}", d, (w := r.uniform(0.02, 0.2)), r.randrange(0, 4), 0.8, "") for k in range(6) for d in range(9)]
+    rows += [("edge", d, 1 / 9, 1, total[d] * 9 / sum(total) * f, "") for d, f in ((0, 1.0001), (1, 0.9999))]
+    t = spark.createDataFrame(rows, MIX)
+    got = {(x["mix_id"], x["domain"]): x["too_small"] for x in mix.mix(records(spark, data), t).shares.collect()}
+    assert got == {(m, d): k * total[d] < w * b * sum(total) for m, d, w, k, b, _ in rows}
+
+
 def test_mix_edges(spark, awkward, none):
     t = spark.createDataFrame([("m", 0, 1.0, 1, 1.0, "")], MIX)
     assert mix.mix(none, t).chosen.count() == 0
@@ -322,6 +334,24 @@ def test_stream(model, seed, part):
     assert list(model.stream(parts)) == model.merge([model.of_byte[b] for b in data])
 
 
+def test_long_pieces(model):
+    """A piece of 300,000 letters: the transducer in parts and the heap agree, in time in proportion to it."""
+    r = random.Random(1)
+    text = "".join(r.choice("abcdefgh") for _ in range(300_000))
+    data = text.encode()
+    ids = model.piece(text)
+    assert b"".join(model.tokens[i] for i in ids) == data
+    assert ids == tuple(model._merge_long([model.of_byte[b] for b in data]))
+    assert ids == tuple(model.stream(data[i : i + 1000] for i in range(0, len(data), 1000)))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_merging_by_heap(model, seed):
+    r = random.Random(seed)
+    ids = [model.of_byte[r.choice(b"aab nthe  ")] for _ in range(r.randrange(1, 128))]
+    assert model._merge_long(ids) == model.merge(ids)
+
+
 def test_tokens(spark, awkward, none, known):
     got = {r["row_id"]: r for r in tokens.tokens(awkward).collect()}
     for r in awkward.collect():
@@ -361,6 +391,19 @@ def test_sample_edges(spark, awkward, none):
     assert sample.grow(keys(spark, 50), None, 0.0).count() == 0
 
 
+def test_ledger_at_a_path(spark, tmp_path):
+    path = f"{tmp_path}/ledger"
+    assert sample.read_ledger(spark, path) is None
+    one = {r["key"] for r in sample.update(keys(spark, 500), path, 1).collect()}
+    two = sample.update(keys(spark, 2000), path, 2)
+    assert len(one) == 50 and two.where("run = 1").count() == 50 and two.count() == 200
+    before = sorted(map(tuple, two.collect()))
+    assert sorted(map(tuple, sample.update(keys(spark, 9000), path, 2).collect())) == before  # the run is there already
+    (tmp_path / "ledger" / "_half-x").mkdir()  # what a lost run may leave
+    assert sorted(map(tuple, sample.read_ledger(spark, path).collect())) == before
+    assert not shared.publish(keys(spark, 3), f"{path}/run=2")
+
+
 # 8
 
 
