@@ -188,6 +188,7 @@ def test_near_duplicates(spark, seed):
 
 def test_near_duplicates_split_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HOT", 4)
+    monkeypatch.setattr(neardup, "PAIRS", 50)
     rows = edited(7, 90)
     ours = neardup._postings
     # The executors' copy of the module keeps its own limit, so the split is tried on batches here.
@@ -195,14 +196,14 @@ def test_near_duplicates_split_frequent_shingles(spark, monkeypatch):
     import pyarrow as pa
 
     sets = [b for b in neardup._sets(3, 40)(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["row_id", "t"])]))]
-    counts = np.zeros(1 << neardup.COUNTERS, dtype=np.int64)
+    counts = np.zeros(1 << 18, dtype=np.int64)
     for b in sets:
-        counts += np.bincount(neardup._cell(neardup._unset(b.column(3))[0]), minlength=len(counts))
+        counts += np.bincount(neardup._cell(neardup._unset(b.column(3))[0], 18), minlength=len(counts))
     level = np.where(counts > 1, np.minimum(255, 1 + np.ceil(8 * np.log2(np.maximum(counts, 1)))), counts).astype(np.uint8)
     shared = type("B", (), {"value": level.tobytes()})()
     blocks = defaultdict(list)
     for b in sets:
-        for out in ours(shared, 3, 0.5)(iter([b.select([0, 1, 3])])):
+        for out in ours(shared, 18, counts.sum() / len(counts), 3, 0.5)(iter([b.select([0, 1, 3])])):
             for part, block in zip(out.column(0).to_pylist(), out.column(1)):
                 blocks[part].append(block)
     met = defaultdict(list)
