@@ -56,7 +56,8 @@ CAPITAL = regex.compile(rf"(?<![\w@])(?:\p{{Lu}}\.(?:-?\p{{Lu}}\.)*|\p{{Lu}}[\p{
 RUN = regex.compile(rf"{CAPITAL.pattern}(?:,?{S}(?:\p{{Ll}}{{1,5}}{S}|[dl]['’]){{0,3}}{CAPITAL.pattern})+")
 PIECE = regex.compile(rf"(,)|({CAPITAL.pattern})|(\p{{Ll}}+)")
 HAN = re.compile(rf"[{SURNAMES}][一-鿿]{{1,2}}")
-AT = re.compile(rf"@|{S}@{S}|{S}?[\[({{<]{S}?(?i:at){S}?[\])}}>]{S}?|(?<=\w){S}(?i:at){S}(?=\w)")
+#: The sign of an address, or the word between blanks or brackets.
+AT = re.compile(r"[@ \xa0\[({<](?:(?<=@)|[aA][tT][ \xa0\])}>])")
 DOT = rf"(?:\.|{S}?[\[({{<]{S}?(?i:dot){S}?[\])}}>]{S}?|{S}(?i:dot){S})"
 LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
 DOMAIN = re.compile(rf"{LABEL}(?:{DOT}{LABEL})+")
@@ -66,6 +67,7 @@ NUMBERS = re.compile(r"(?<!\w)(?<!\d,)(?:[+(]{1,2}|(?:[A-Z]{1,2}[ \xa0])?(?=[A-Z
 GROUP = re.compile(r"[A-Z]{0,3}\d[\dA-Z]*|[A-Z]{1,2}")
 LATER = re.compile(r"(?<=\d)\d")
 HOUSE = re.compile(rf"(?<![\w/:€$£#+-])(?<!\d[.,])\d{{1,5}}(?:{S}?[a-zA-Z](?![\w'’]))?(?:[-/]\d{{1,4}}[a-zA-Z]?)?(?:{S}(?:bis|ter|quater)(?!\w))?(?![\w%€$£°]|[.,:/]\d|-\d)")
+NUMBER_SIGN = re.compile(rf"(?:,?{S}(?:n\.?º|nº|núm\.|no\.|nr\.|Nr\.){S}?|,{S})\Z")
 STREET_WORD = re.compile(rf"{_letter}(?:[\w'’]|[.](?=[\s,.]|\Z)|-(?=\w))*(?:/(?={S}))?")
 FLAT = re.compile(rf",?{S}(?i:{FLATS}){S}?\d+{S}?[A-Za-zªº]?(?!\w)")
 WORD = re.compile(r"[^\W_]+")
@@ -118,8 +120,8 @@ class View:
     def __init__(self, text: str):
         self.text = text
         self._low: set[str] | None = None
-        self._words: tuple[list[int], list[str]] | None = None
         self._lines: dict[int, str] = {}
+        self.edges: dict[tuple, tuple[float, list[str]]] = {}
 
     def lower(self, word: str) -> bool:
         """Whether the text has the word in small letters."""
@@ -130,19 +132,14 @@ class View:
 
     def before(self, start: int) -> list[str]:
         """Up to CONTEXT words before a place on its line, the nearest first, in small letters."""
-        out: list[str] = []
-        at = start
         low = self.text.rfind("\n", 0, start) + 1
-        while len(out) < CONTEXT and at > low:
-            while at > low and not (self.text[at - 1].isalnum()):
-                at -= 1
-            end = at
-            while at > low and self.text[at - 1].isalnum():
-                at -= 1
-            if end > at:
-                w = self.text[at:end]
-                out.append("0" if w.isdigit() else w.lower())
-        return out
+        width = 64
+        while True:
+            at = max(low, start - width)
+            found = WORD.findall(self.text[at:start])
+            if at == low or len(found) > CONTEXT:
+                return ["0" if w.isdigit() else w.lower() for w in found[: -CONTEXT - 1 : -1]]
+            width *= 4
 
     def line(self, start: int) -> str:
         """Whether the line is set like a title: its words with a capital, over all."""
@@ -215,6 +212,8 @@ class Model:
         self._runs: dict[str, list[tuple[int, int, str, float, list[str]]]] = {}
         self._keys: dict[tuple, tuple[float, list[str]]] = {}
         self.least: dict[str, float] = {}
+        self.rests: dict[str, float] = {}
+        self.rights: dict[str, float] = {}
         if weights is not None:
             # The most that what stands beside a segment can add: the best of each feature's values, and of CONTEXT words.
             best: dict[str, float] = {}
@@ -225,7 +224,10 @@ class Model:
             for k in KINDS:
                 beside = sum(w * (CONTEXT if h == f"{k}:bag" or h == f"{k}:kbag" else 1) for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in BESIDE)
                 self.least[k] = -beside - 2 * step
+                self.rests[k] = sum(w for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in ("low", "open"))
+                self.rights[k] = sum(w for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in ("r", "next", "cutr", "n1", "hr", "hr2"))
             self.steps = {f: w for f, w in weights.items() if f.startswith("t:")}
+            self.most = max(self.steps.values(), default=0.0)
 
     def sum(self, features: list[str]) -> float:
         get = self.weights.get
@@ -245,13 +247,28 @@ class Model:
     def word(self, word: str, role: str) -> tuple[float, list[str]]:
         return self.keyed((role, word), lambda: word_features(word, self.lexicon, role))
 
-    def add(self, out: list[Segment], start: int, end: int, kind: str, own: float, features: list[str], beside) -> None:
-        """Keep a proposal, unless nothing beside it could make it worth while."""
+    def edge(self, view: View, key: tuple, make) -> tuple[float, list[str]]:
+        """Score and features of what stands at one border, asked once for all segments that have it."""
+        got = view.edges.get(key)
+        if got is None:
+            features = make()
+            got = view.edges[key] = (self.sum(features), []) if self.weights is not None else (0.0, features)
+        return got
+
+    def add(self, view: View, out: list[Segment], start: int, end: int, kind: str, own: float, features: list[str], left, right, rest=None, way: str = "") -> None:
+        """Keep a proposal, unless nothing beside it could make it worth while. left, right: features of what stands at
+        each border, which depend on the place, the kind and way alone; rest: of both."""
         if self.weights is None:
-            out.append(Segment(start, end, kind, 0.0, features + beside()))
+            more = self.edge(view, (kind, way, start), left)[1] + self.edge(view, (kind, end), right)[1]
+            out.append(Segment(start, end, kind, 0.0, features + more + (rest() if rest else [])))
         elif own > self.least[kind]:
-            score = own + self.sum(beside())
-            if score > -2 * abs(max(self.steps.values(), default=0.0)):
+            score = own + self.edge(view, (kind, way, start), left)[0]
+            if score <= -self.rests[kind] - self.rights[kind] - 2 * self.most:
+                return
+            score += self.edge(view, (kind, end), right)[0]
+            if rest and score > -self.rests[kind] - 2 * self.most:
+                score += self.sum(rest())
+            if score > -2 * self.most:
                 out.append(Segment(start, end, kind, score))
 
     def segments(self, text: str) -> list[Segment]:
@@ -269,11 +286,11 @@ class Model:
     def _emails(self, view: View, out: list[Segment]) -> None:
         text = view.text
         for a in AT.finditer(text):
-            sign = a.group().strip()
-            m = DOMAIN.match(text, a.end())
+            s, e = around(text, a.start(), a.end())
+            m = DOMAIN.match(text, e) if s else None
             if not m:
                 continue
-            s = a.start()
+            sign = text[s:e].strip()
             lo = s
             while lo and (text[lo - 1].isalnum() or text[lo - 1] in "._+-'’%"):
                 lo -= 1
@@ -285,7 +302,7 @@ class Model:
             spelled = sign.lower() == "at" or sign[0] in "[({<"
             if spelled and (w := SPELLED_LEFT.search(text, text.rfind("\n", 0, lo) + 1, lo)):
                 starts.append(w.start())
-            form = "sign" if sign == "@" and len(a.group()) == 1 else "wide" if sign == "@" else "word" if sign.lower() == "at" else "bracket"
+            form = "sign" if sign == "@" and e - s == 1 else "wide" if sign == "@" else "word" if sign.lower() == "at" else "bracket"
             ends = [d.start() for d in DOTS.finditer(text, m.start(), m.end())][1:] + [m.end()]
             for e in ends:
                 value = text[m.start() : e]
@@ -304,7 +321,7 @@ class Model:
                     if plain and form == "word":
                         f.append(f"email:local={local.lower()}")
                         f.append(f"email:function={local.lower() in FUNCTION}")
-                    self.add(out, b, e, "email", self.sum(f) if self.weights is not None else 0.0, f, lambda b=b, e=e: [f"email:l={view.left(b)}", f"email:r={view.right(e)}", *(f"email:bag={w}" for w in view.before(b)[:2])])
+                    self.add(view, out, b, e, "email", self.sum(f) if self.weights is not None else 0.0, f, lambda b=b: [f"email:l={view.left(b)}", *(f"email:bag={w}" for w in view.before(b)[:2])], lambda e=e: [f"email:r={view.right(e)}"])
 
     def _numbers(self, view: View, out: list[Segment]) -> None:
         text = view.text
@@ -328,21 +345,26 @@ class Model:
                 got = [g for g in got if g[1] < len(run)]
             for s, e, kind, own, f in got:
                 s, e = at + s, at + e
-                self.add(out, s, e, kind, own, f, lambda s=s, e=e, kind=kind: self._beside_number(view, s, e, kind))
+                letters = "" if kind == "phone" else "d" if all(c.isdigit() for c in text[s:e] if c.isalnum()) else "a"
+                self.add(view, out, s, e, kind, own, f, lambda s=s, kind=kind, letters=letters: self._before_number(view, s, kind, letters or "d"), lambda e=e, kind=kind: self._behind_number(view, e, kind), way=letters)
 
     @staticmethod
-    def _beside_number(view: View, s: int, e: int, kind: str) -> list[str]:
+    def _before_number(view: View, s: int, kind: str, letters: str) -> list[str]:
         ws = view.before(s)
         t = view.text
-        dense = "".join(c for c in t[s:e] if c.isalnum())
-        letters = "d" if dense.isdigit() else "a"
-        out = [f"{kind}:l={view.left(s)}", f"{kind}:r={view.right(e)}", f"{kind}:w1={ws[0] if ws else '^'}"]
+        out = [f"{kind}:l={view.left(s)}", f"{kind}:w1={ws[0] if ws else '^'}"]
         out += [f"{kind}:bag={w}" for w in dict.fromkeys(ws)]
         out += [f"{kind}:kbag={letters}{w}" for w in dict.fromkeys(ws)]
-        out.append(f"{kind}:next={'.d' if re.match(r'[.,/:-][0-9]', t[e : e + 2]) else '_d' if re.match(r'[ ][0-9]', t[e : e + 2]) else 'no'}")
-        out.append(f"{kind}:prev={'.d' if re.search(r'[0-9][.,/:-]$', t[max(0, s - 2) : s]) else '_d' if re.search(r'[0-9][ ]$', t[max(0, s - 2) : s]) else 'no'}")
+        last, sign = t[s - 2 : s - 1] if s > 1 else "", t[s - 1 : s] if s else ""
+        out.append(f"{kind}:prev={('.d' if sign in '.,/:-' else '_d' if sign == ' ' else 'no') if sign and '0' <= last <= '9' else 'no'}")
         return out
 
+    @staticmethod
+    def _behind_number(view: View, e: int, kind: str) -> list[str]:
+        t = view.text
+        sign, first = t[e : e + 1], t[e + 1 : e + 2]
+        return [f"{kind}:r={view.right(e)}", f"{kind}:next={('.d' if sign in '.,/:-' else '_d' if sign == ' ' else 'no') if sign and '0' <= first <= '9' else 'no'}"]
+
     def _spans(self, shape: str) -> list[tuple[int, int, str, float, list[str]]]:
         """Stretches of groups of a run of numbers, given by the shape of the run, that may be a phone number or an id."""
         groups = [(g.start(), g.end()) for g in GROUP.finditer(shape)]
@@ -413,7 +435,7 @@ class Model:
             front = "front" if at == e else "front,"
             if at < len(text) and text[at] in " \xa0":
                 at += 1
-                while len(words) < STREET_WORDS and (w := STREET_WORD.match(text, at)):
+                while len(words) < STREET_WORDS and text[at : at + 1].isalpha() and (w := STREET_WORD.match(text, at)):
                     word = w.group()
                     stop = word.endswith(".") and word[:-1].lower() not in ABBREVIATED
                     if stop:
@@ -428,17 +450,24 @@ class Model:
                         break
                     at = end + 1
             # The number last: words before it.
-            b = s
-            gap = re.search(rf"(?:,?{S}(?:n\.?º|nº|núm\.|no\.|nr\.|Nr\.|numero|número)?{S}?|,{S})\Z", text[max(0, s - 12) : s])
-            if not gap or not gap.group():
+            if s < 2 or text[s - 1] not in " \xa0":
+                continue
+            b = s - 1
+            if text[b - 1] in "º.," and (gap := NUMBER_SIGN.search(text, max(0, s - 9), s)):
+                b = gap.start()
+            elif not (text[b - 1].isalnum() or text[b - 1] == "."):
                 continue
-            b = s - len(gap.group())
             words = []
             while len(words) < STREET_WORDS and b > 0:
-                p = b
-                while p and (text[p - 1].isalnum() or text[p - 1] in "'’-./"):
-                    p -= 1
+                p = max(text.rfind(" ", 0, b), text.rfind("\n", 0, b), 0)
+                p += p > 0 or text[0] in " \n"
+                if not text[p:b].isalnum():
+                    p = b
+                    while p and (text[p - 1].isalnum() or text[p - 1] in "'’-./"):
+                        p -= 1
                 word = text[p:b]
+                if not words and word and not (word[0].isupper() or word.lower() in LOW_STREETS):
+                    break
                 if not word or not word[0].isalpha() or "." in word[:-1]:
                     break
                 if words and word[-1] == "." and word[:-1].lower() not in ABBREVIATED | {"avda", "c", "pza", "ctra"}:
@@ -458,11 +487,11 @@ class Model:
         for end, flat in ends:
             own, f = self._street(words, form, house, flat)
 
-            def beside(s=s, end=end) -> list[str]:
+            def left(s=s) -> list[str]:
                 ws = view.before(s)
-                return [f"address:l={view.left(s)}", f"address:r={view.right(end)}", f"address:w1={ws[0] if ws else '^'}", *(f"address:bag={w}" for w in dict.fromkeys(ws[:4])), f"address:line={view.line(s)}", f"address:open={len(ends) > 1 and not flat}", f"address:low={form}{view.lower(words[-1].lower())}"]
+                return [f"address:l={view.left(s)}", f"address:w1={ws[0] if ws else '^'}", *(f"address:bag={w}" for w in dict.fromkeys(ws[:4])), f"address:line={view.line(s)}"]
 
-            self.add(out, s, end, "address", own, f, beside)
+            self.add(view, out, s, end, "address", own, f, left, lambda end=end: [f"address:r={view.right(end)}"], lambda flat=flat: [f"address:open={len(ends) > 1 and not flat}", f"address:low={form}{view.lower(words[-1].lower())}"])
 
     def _names(self, view: View, out: list[Segment]) -> None:
         text = view.text
@@ -493,7 +522,7 @@ class Model:
                 for e in range(m.start() + 2, m.end() + 1):
                     f = [f"name:han={e - m.start()}"]
                     b = text[max(0, m.start() - 2) : m.start()]
-                    self.add(out, m.start(), e, "name", self.sum(f) if self.weights is not None else 0.0, f, lambda b=b, e=e: [f"name:hl2={b}", f"name:hl={b[-1:]}", f"name:hr={text[e : e + 1]}", f"name:hr2={text[e : e + 2]}"])
+                    self.add(view, out, m.start(), e, "name", self.sum(f) if self.weights is not None else 0.0, f, lambda b=b: [f"name:hl2={b}", f"name:hl={b[-1:]}"], lambda e=e: [f"name:hr={text[e : e + 1]}", f"name:hr2={text[e : e + 2]}"], way="han")
 
     def _name(self, view: View, out: list[Segment], pieces: list[tuple[int, int, int]], comma: int) -> None:
         text = view.text
@@ -527,43 +556,45 @@ class Model:
         score += x
         features += f
 
-        def beside() -> list[str]:
-            ws = view.before(start)
-            left, right = view.left(start), view.right(end)
-            out = [f"name:l={left}", f"name:r={right}", f"name:w1={ws[0] if ws else '^'}", f"name:line={view.line(start)}"]
-            out += [f"name:bag={w}" for w in dict.fromkeys(ws[:3])]
-            out += [f"name:low={order}{view.lower(first.lower())}{view.lower(last.lower())}"]
-            cut = "no"
-            if left == "_a" or left == "_.":
-                p = start - 2
-                while p >= 0 and (text[p].isalnum() or text[p] in "'’-."):
-                    p -= 1
-                w = text[p + 1 : start - 1]
-                if w and w[0].isupper():
-                    k = w.rstrip(".").lower()
-                    cut = "title" if k in TITLES else "function" if k in FUNCTION else "given" if k in self.lexicon.given else "cap" if left == "_a" else "stop"
-                elif w.lower() in PARTICLES:
-                    cut = "particle"
-            out.append(f"name:cutl={cut}")
-            cut = "no"
-            if right == "_A":
-                p = end + 1
-                while p < len(text) and (text[p].isalnum() or text[p] in "'’-"):
-                    p += 1
-                k = text[end + 1 : p].lower()
-                cut = "initial" if p - end == 2 and text[p : p + 1] == "." else "function" if k in FUNCTION else "family" if k in self.lexicon.family or self.lexicon.stem(k) else "cap"
-            elif right == "_a":
-                p = end + 1
-                while p < len(text) and text[p].isalnum():
-                    p += 1
-                k = text[end + 1 : p]
-                cut = "particle" if k in PARTICLES else "no"
-            out.append(f"name:cutr={cut}")
-            n = WORD.match(text, end + 1) if right in ("_a", "_A") else None
-            out.append(f"name:n1={n.group().lower() if n else right}")
-            return out
-
-        self.add(out, start, end, "name", score, features, beside)
+        self.add(view, out, start, end, "name", score, features, lambda: self._before_name(view, start), lambda: self._behind_name(view, end), lambda: [f"name:low={order}{view.lower(first.lower())}{view.lower(last.lower())}"])
+
+    def _before_name(self, view: View, start: int) -> list[str]:
+        text = view.text
+        ws = view.before(start)
+        left = view.left(start)
+        out = [f"name:l={left}", f"name:w1={ws[0] if ws else '^'}", f"name:line={view.line(start)}"]
+        out += [f"name:bag={w}" for w in dict.fromkeys(ws[:3])]
+        cut = "no"
+        if left == "_a" or left == "_.":
+            p = start - 2
+            while p >= 0 and (text[p].isalnum() or text[p] in "'’-."):
+                p -= 1
+            w = text[p + 1 : start - 1]
+            if w and w[0].isupper():
+                k = w.rstrip(".").lower()
+                cut = "title" if k in TITLES else "function" if k in FUNCTION else "given" if k in self.lexicon.given else "cap" if left == "_a" else "stop"
+            elif w.lower() in PARTICLES:
+                cut = "particle"
+        out.append(f"name:cutl={cut}")
+        return out
+
+    def _behind_name(self, view: View, end: int) -> list[str]:
+        text = view.text
+        right = view.right(end)
+        cut = "no"
+        if right == "_A":
+            p = end + 1
+            while p < len(text) and (text[p].isalnum() or text[p] in "'’-"):
+                p += 1
+            k = text[end + 1 : p].lower()
+            cut = "initial" if p - end == 2 and text[p : p + 1] == "." else "function" if k in FUNCTION else "family" if k in self.lexicon.family or self.lexicon.stem(k) else "cap"
+        elif right == "_a":
+            p = end + 1
+            while p < len(text) and text[p].isalnum():
+                p += 1
+            cut = "particle" if text[end + 1 : p] in PARTICLES else "no"
+        n = WORD.match(text, end + 1) if right in ("_a", "_A") else None
+        return [f"name:r={right}", f"name:cutr={cut}", f"name:n1={n.group().lower() if n else right}"]
 
     def _family_first(self, first: str, last: str) -> bool:
         """Whether the list says that the family name stands first."""
@@ -612,6 +643,24 @@ class Model:
 BESIDE = frozenset("n1 l r w1 bag kbag next prev line open low cutl cutr hl hl2 hr hr2".split())
 
 
+def around(text: str, s: int, e: int) -> tuple[int, int]:
+    """Where the sign of an address begins and ends, with its blanks and brackets; 0, 0 if it is none."""
+    n = len(text)
+    if e - s == 1:
+        return (s - 1, e + 1) if 0 < s and e < n and text[s - 1] in " \xa0" and text[e] in " \xa0" else (s, e)
+    if text[s] in " \xa0" and s and text[s - 1] in "[({<":
+        s -= 1
+    if text[e - 1] in " \xa0" and e < n and text[e] in "])}>":
+        e += 1
+    opened, shut = text[s] in "[({<", text[e - 1] in "])}>"
+    if opened != shut:
+        return 0, 0
+    if opened:
+        s -= s > 0 and text[s - 1] in " \xa0"
+        e += e < n and text[e] in " \xa0"
+    return s, e
+
+
 def adjacent(text: str, start: int) -> int:
     """Where a segment ends at least, for no word to stand between it and start."""
     while start and not text[start - 1].isalnum():
