@@ -146,9 +146,10 @@ class View:
         low = self.text.rfind("\n", 0, start) + 1
         if low not in self._lines:
             high = self.text.find("\n", low)
-            ws = [w for w in self.text[low : high if high >= 0 else len(self.text)].split() if w[0].isalpha()]
-            up = sum(w[0].isupper() for w in ws)
-            self._lines[low] = "few" if len(ws) < 5 else "title" if up >= 0.8 * len(ws) else "half" if up >= 0.5 * len(ws) else "text"
+            first = [w[0] for w in self.text[low : high if high >= 0 else len(self.text)].split()]
+            n = sum(map(str.isalpha, first))
+            up = sum(map(str.isupper, first))
+            self._lines[low] = "few" if n < 5 else "title" if up >= 0.8 * n else "half" if up >= 0.5 * n else "text"
         return self._lines[low]
 
     def left(self, start: int) -> str:
@@ -222,11 +223,12 @@ class Model:
                 best[head] = max(best.get(head, 0.0), w)
             step = max([w for f, w in weights.items() if f.startswith("t:")] + [0.0])
             for k in KINDS:
-                beside = sum(w * (CONTEXT if h == f"{k}:bag" or h == f"{k}:kbag" else 1) for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in BESIDE)
+                beside = sum(w * (BAG[k] if h == f"{k}:bag" or h == f"{k}:kbag" else 1) for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in BESIDE)
                 self.least[k] = -beside - 2 * step
                 self.rests[k] = sum(w for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in ("low", "open"))
                 self.rights[k] = sum(w for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in ("r", "next", "cutr", "n1", "hr", "hr2"))
             self.steps = {f: w for f, w in weights.items() if f.startswith("t:")}
+            self.whole = sum(max([w for f, w in weights.items() if f.startswith(f"name:{h}=")] + [0.0]) for h in ("order", "pattern", "caps", "known"))
             self.most = max(self.steps.values(), default=0.0)
 
     def sum(self, features: list[str]) -> float:
@@ -321,7 +323,7 @@ class Model:
                     if plain and form == "word":
                         f.append(f"email:local={local.lower()}")
                         f.append(f"email:function={local.lower() in FUNCTION}")
-                    self.add(view, out, b, e, "email", self.sum(f) if self.weights is not None else 0.0, f, lambda b=b: [f"email:l={view.left(b)}", *(f"email:bag={w}" for w in view.before(b)[:2])], lambda e=e: [f"email:r={view.right(e)}"])
+                    self.add(view, out, b, e, "email", self.sum(f) if self.weights is not None else 0.0, f, lambda b=b: [f"email:l={view.left(b)}", *(f"email:bag={w}" for w in view.before(b)[: BAG["email"]])], lambda e=e: [f"email:r={view.right(e)}"])
 
     def _numbers(self, view: View, out: list[Segment]) -> None:
         text = view.text
@@ -489,7 +491,7 @@ class Model:
 
             def left(s=s) -> list[str]:
                 ws = view.before(s)
-                return [f"address:l={view.left(s)}", f"address:w1={ws[0] if ws else '^'}", *(f"address:bag={w}" for w in dict.fromkeys(ws[:4])), f"address:line={view.line(s)}"]
+                return [f"address:l={view.left(s)}", f"address:w1={ws[0] if ws else '^'}", *(f"address:bag={w}" for w in dict.fromkeys(ws[: BAG["address"]])), f"address:line={view.line(s)}"]
 
             self.add(view, out, s, end, "address", own, f, left, lambda end=end: [f"address:r={view.right(end)}"], lambda flat=flat: [f"address:open={len(ends) > 1 and not flat}", f"address:low={form}{view.lower(words[-1].lower())}"])
 
@@ -542,6 +544,8 @@ class Model:
             order, roles = "given", [(first, "G"), *((w, "M") for w in words[1:-1]), (last, "F")]
             if not last.endswith(".") and self._family_first(first, last):
                 order, roles = "family", [(first, "F"), *((w, "M") for w in words[1:-1]), (last, "G")]
+        if self.weights is not None and sum([self.word(w, r)[0] for w, r in roles]) + self.whole <= self.least["name"]:
+            return
         pattern = "".join("p" if w in PARTICLES else "I" if w.endswith(".") else "X" if w.isupper() and len(w) > 1 else "C" for w, _ in roles)
         own, f = self.keyed(("name", order, pattern, caps == len(real), bool(caps)), lambda: [f"name:order={order}", f"name:pattern={order}{pattern}", f"name:caps={order}{'all' if caps == len(real) else 'some' if caps else 'no'}"])
         score, features, known = own, list(f), ""
@@ -563,7 +567,7 @@ class Model:
         ws = view.before(start)
         left = view.left(start)
         out = [f"name:l={left}", f"name:w1={ws[0] if ws else '^'}", f"name:line={view.line(start)}"]
-        out += [f"name:bag={w}" for w in dict.fromkeys(ws[:3])]
+        out += [f"name:bag={w}" for w in dict.fromkeys(ws[: BAG["name"]])]
         cut = "no"
         if left == "_a" or left == "_.":
             p = start - 2
@@ -639,6 +643,8 @@ class Model:
         return out[::-1]
 
 
+#: Words before a segment of each kind that count.
+BAG = {"email": 2, "phone": CONTEXT, "id": CONTEXT, "address": 4, "name": 3}
 #: Features of what stands beside a segment.
 BESIDE = frozenset("n1 l r w1 bag kbag next prev line open low cutl cutr hl hl2 hr hr2".split())
 
