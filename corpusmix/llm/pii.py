@@ -68,6 +68,7 @@ GROUP = re.compile(r"[A-Z]{0,3}\d[\dA-Z]*|[A-Z]{1,2}")
 LATER = re.compile(r"(?<=\d)\d")
 HOUSE = re.compile(rf"(?<![\w/:€$£#+-])(?<!\d[.,])\d{{1,5}}(?:{S}?[a-zA-Z](?![\w'’]))?(?:[-/]\d{{1,4}}[a-zA-Z]?)?(?:{S}(?:bis|ter|quater)(?!\w))?(?![\w%€$£°]|[.,:/]\d|-\d)")
 NUMBER_SIGN = re.compile(rf"(?:,?{S}(?:n\.?º|nº|núm\.|no\.|nr\.|Nr\.){S}?|,{S})\Z")
+LOW_STREET = re.compile(rf"(?:{'|'.join(sorted(LOW_STREETS))})(?!\w)", re.I)
 STREET_WORD = re.compile(rf"{_letter}(?:[\w'’]|[.](?=[\s,.]|\Z)|-(?=\w))*(?:/(?={S}))?")
 FLAT = re.compile(rf",?{S}(?i:{FLATS}){S}?\d+{S}?[A-Za-zªº]?(?!\w)")
 WORD = re.compile(r"[^\W_]+")
@@ -211,8 +212,10 @@ class Model:
         self.weights, self.lexicon = weights, lexicon
         self._words: dict[tuple[str, str], tuple[float, list[str]]] = {}
         self._runs: dict[str, list[tuple[int, int, str, float, list[str]]]] = {}
+        self._signs: dict[str, tuple] = {}
         self._keys: dict[tuple, tuple[float, list[str]]] = {}
         self.least: dict[str, float] = {}
+        self.lift: dict[str, float] = {}
         self.rests: dict[str, float] = {}
         self.rights: dict[str, float] = {}
         if weights is not None:
@@ -221,15 +224,14 @@ class Model:
             for f, w in weights.items():
                 head = f.split("=")[0]
                 best[head] = max(best.get(head, 0.0), w)
-            step = max([w for f, w in weights.items() if f.startswith("t:")] + [0.0])
             for k in KINDS:
+                # No neighbours add more than this to a segment of the kind.
+                self.lift[k] = sum(max([w for f, w in weights.items() if f.startswith("t:") and f.split(":")[1].split(">")[side] == k] + [0.0]) for side in (0, 1))
                 beside = sum(w * (BAG[k] if h == f"{k}:bag" or h == f"{k}:kbag" else 1) for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in BESIDE)
-                self.least[k] = -beside - 2 * step
+                self.least[k] = -beside - self.lift[k]
                 self.rests[k] = sum(w for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in ("low", "open"))
                 self.rights[k] = sum(w for h, w in best.items() if h.startswith(f"{k}:") and h.split(":")[1] in ("r", "next", "cutr", "n1", "hr", "hr2"))
             self.steps = {f: w for f, w in weights.items() if f.startswith("t:")}
-            self.whole = sum(max([w for f, w in weights.items() if f.startswith(f"name:{h}=")] + [0.0]) for h in ("order", "pattern", "caps", "known"))
-            self.most = max(self.steps.values(), default=0.0)
 
     def sum(self, features: list[str]) -> float:
         get = self.weights.get
@@ -247,7 +249,7 @@ class Model:
         return got
 
     def word(self, word: str, role: str) -> tuple[float, list[str]]:
-        return self.keyed((role, word), lambda: word_features(word, self.lexicon, role))
+        return self._keys.get((role, word)) or self.keyed((role, word), lambda: word_features(word, self.lexicon, role))
 
     def edge(self, view: View, key: tuple, make) -> tuple[float, list[str]]:
         """Score and features of what stands at one border, asked once for all segments that have it."""
@@ -265,12 +267,12 @@ class Model:
             out.append(Segment(start, end, kind, 0.0, features + more + (rest() if rest else [])))
         elif own > self.least[kind]:
             score = own + self.edge(view, (kind, way, start), left)[0]
-            if score <= -self.rests[kind] - self.rights[kind] - 2 * self.most:
+            if score <= -self.rests[kind] - self.rights[kind] - self.lift[kind]:
                 return
             score += self.edge(view, (kind, end), right)[0]
-            if rest and score > -self.rests[kind] - 2 * self.most:
+            if rest and score > -self.rests[kind] - self.lift[kind]:
                 score += self.sum(rest())
-            if score > -2 * self.most:
+            if score > -self.lift[kind]:
                 out.append(Segment(start, end, kind, score))
 
     def segments(self, text: str) -> list[Segment]:
@@ -428,6 +430,18 @@ class Model:
         text = view.text
         for h in HOUSE.finditer(text):
             s, e = h.span()
+            back = s > 1 and text[s - 1] in " \xa0"
+            if back:
+                c = text[s - 2]
+                if c.isalnum():
+                    # The word before must have a capital or be one for a street.
+                    p = text.rfind(" ", 0, s - 1) + 1
+                    back = not text[p : s - 1].isalnum() or text[p].isupper() or text[p : s - 1].lower() in LOW_STREETS
+                else:
+                    back = c in ".º,'’/-"
+            at = e + 1 if text[e : e + 1] != "," else e + 2
+            if not back and not (text[at - 1 : at] in (" ", "\xa0") and (text[at : at + 1].isupper() or LOW_STREET.match(text, at))):
+                continue
             house = h.group()
             # The number first: words behind it.
             at = e
@@ -452,7 +466,7 @@ class Model:
                         break
                     at = end + 1
             # The number last: words before it.
-            if s < 2 or text[s - 1] not in " \xa0":
+            if not back:
                 continue
             b = s - 1
             if text[b - 1] in "º.," and (gap := NUMBER_SIGN.search(text, max(0, s - 9), s)):
@@ -530,35 +544,34 @@ class Model:
         text = view.text
         start, end = pieces[0][0], pieces[-1][1]
         words = [text[s:e] for s, e, k in pieces if k != 1]
-        real = [w for w in words if not w.endswith(".") and w not in PARTICLES]
-        if len(real) < 2 and not (len(real) == 1 and words[0].endswith(".")):
+        told = [self._told(w) for w in words]
+        signs = "".join([t[0] for t in told])
+        real = len(signs) - signs.count("p") - signs.count("I")
+        if real < 2 and not (real == 1 and signs[0] == "I"):
             return
-        caps = sum(w.isupper() and len(w) > 1 for w in real)
         first, last = words[0], words[-1]
         if comma >= 0:
             # Family name first: the words up to the comma, then given names.
-            head = [text[s:e] for s, e, k in pieces[:comma]]
-            family, given, order = head[-1], text[pieces[comma + 1][0] : pieces[comma + 1][1]], "comma"
-            roles = [*((w, "M") for w in head[:-1]), (family, "F"), (given, "G"), *((w, "M") for w in words[len(head) + 1 :])]
+            order, f, g = "comma", comma - 1, comma
         else:
-            order, roles = "given", [(first, "G"), *((w, "M") for w in words[1:-1]), (last, "F")]
-            if not last.endswith(".") and self._family_first(first, last):
-                order, roles = "family", [(first, "F"), *((w, "M") for w in words[1:-1]), (last, "G")]
-        if self.weights is not None and sum([self.word(w, r)[0] for w, r in roles]) + self.whole <= self.least["name"]:
-            return
-        pattern = "".join("p" if w in PARTICLES else "I" if w.endswith(".") else "X" if w.isupper() and len(w) > 1 else "C" for w, _ in roles)
-        own, f = self.keyed(("name", order, pattern, caps == len(real), bool(caps)), lambda: [f"name:order={order}", f"name:pattern={order}{pattern}", f"name:caps={order}{'all' if caps == len(real) else 'some' if caps else 'no'}"])
-        score, features, known = own, list(f), ""
-        for w, r in roles:
-            x, f = self.word(w, r)
+            # Or where the list says so.
+            turned = signs[-1] != "I" and (told[-1][3] or told[0][4]) and not told[0][3] and (told[0][4] or told[0][5])
+            order, f, g = ("family", 0, len(words) - 1) if turned else ("given", len(words) - 1, 0)
+        pattern = signs
+        score, features = self.keyed(("name", order, pattern), lambda: [f"name:order={order}", f"name:pattern={order}{pattern}", f"name:caps={order}{'no' if 'X' not in pattern else 'some' if 'C' in pattern else 'all'}"])
+        features = list(features)
+        known = ""
+        for k, w in enumerate(words):
+            role = "F" if k == f else "G" if k == g else "M"
+            x, more = self.word(w, role)
             score += x
-            features += f
-            if r != "M":
-                low = w.lower().split("-")[0 if r == "G" else -1]
-                known += r + ("g" if low in self.lexicon.given else "") + ("f" if low in self.lexicon.family or self.lexicon.stem(low) else "") + ("u" if low in FUNCTION else "")
-        x, f = self.keyed(("known", order, known), lambda: [f"name:known={order}{known}"])
+            if more:
+                features += more
+            if role != "M":
+                known += role + told[k][1 if role == "G" else 2]
+        x, more = self.keyed(("known", order, known), lambda: [f"name:known={order}{known}"])
         score += x
-        features += f
+        features += more
 
         self.add(view, out, start, end, "name", score, features, lambda: self._before_name(view, start), lambda: self._behind_name(view, end), lambda: [f"name:low={order}{view.lower(first.lower())}{view.lower(last.lower())}"])
 
@@ -600,10 +613,19 @@ class Model:
         n = WORD.match(text, end + 1) if right in ("_a", "_A") else None
         return [f"name:r={right}", f"name:cutr={cut}", f"name:n1={n.group().lower() if n else right}"]
 
-    def _family_first(self, first: str, last: str) -> bool:
-        """Whether the list says that the family name stands first."""
-        f, g, lex = first.lower(), last.lower(), self.lexicon
-        return (g in lex.given or f in lex.family) and f not in lex.given and (f in lex.family or bool(lex.stem(f)))
+    def _told(self, word: str) -> tuple[str, str, str, bool, bool, bool]:
+        """A sign for the word's form; what the lists say of it as a given and as a family name; whether it is listed as
+        either, or ends like those listed."""
+        got = self._signs.get(word)
+        if got is None:
+            lex, low = self.lexicon, word.lower()
+            parts = low.split("-")
+            says = [("g" if p in lex.given else "") + ("f" if p in lex.family or lex.stem(p) else "") + ("u" if p in FUNCTION else "") for p in (parts[0], parts[-1])]
+            sign = "p" if word in PARTICLES else "I" if word.endswith(".") else "X" if word.isupper() and len(word) > 1 else "C"
+            if len(self._signs) >= KEPT:
+                self._signs.clear()
+            got = self._signs[word] = (sign, *says, low in lex.given, low in lex.family, bool(lex.stem(low)))
+        return got
 
     # --- reading
 
@@ -674,6 +696,10 @@ def adjacent(text: str, start: int) -> int:
     return start
 
 
+#: The broadcast and the model of a worker process, which keeps its caches from task to task.
+_models: list = []
+
+
 def find(documents: DataFrame, names: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, redacted, found (array of kind, value, start): one row per document.
 
@@ -693,7 +719,9 @@ def find(documents: DataFrame, names: DataFrame, weights: dict[str, float] | Non
     shared = spark.sparkContext.broadcast((weights, listed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value[0], Lexicon(shared.value[1]))
+        if shared.value is not (_models[0] if _models else None):
+            _models[:] = [shared.value, Model(shared.value[0], Lexicon(shared.value[1]))]
+        model = _models[1]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("start", pa.int32())]))
         for b in batches:
             texts, found = [], []
