@@ -30,10 +30,25 @@ def _ranks(df: DataFrame, by: str, x: str) -> DataFrame:
     return ranked.join(F.broadcast(total), by).drop("_rank")
 
 
+def _rejoin(df: DataFrame, found: DataFrame, by: str, x: str) -> DataFrame:
+    """df with found's sigma (by, x, _n, _all, sigma: a row for each distinct value).
+
+    A value that more than a thousandth of its group's rows have is one of a thousand at most: those
+    are broadcast, and their rows are dealt out, so no task gets all rows of one value.
+    """
+    hot = F.col("_n") * 1000 > F.col("_all")
+    few = found.where(hot).select(by, x, F.col("sigma").alias("_hot"))
+    rest = found.where(~hot).select(by, x, F.lit(0).alias("_deal"), F.col("sigma").alias("_rest"))
+    j = df.join(F.broadcast(few), [by, x], "left")
+    dealt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(64)))
+    j = j.withColumn("_deal", dealt.cast("int")).join(rest, [by, x, "_deal"], "left")
+    return j.select(*df.columns, F.coalesce("_hot", "_rest").alias("sigma")).where(F.col(by).isNotNull() & F.col(x).isNotNull())
+
+
 def rank(df: DataFrame, by: str = "criterion", x: str = "x") -> DataFrame:
     """(average rank - 1) / N, ranks from 1, ties share their average."""
-    r = _ranks(df, by, x).select(by, x, ((F.col("_below") + (F.col("_n") - 1) / 2) / F.col("_all")).alias("sigma"))
-    return df.join(r, [by, x])
+    r = _ranks(df, by, x).withColumn("sigma", (F.col("_below") + (F.col("_n") - 1) / 2) / F.col("_all"))
+    return _rejoin(df, r, by, x)
 
 
 def zscore(df: DataFrame, by: str = "criterion", x: str = "x") -> DataFrame:
@@ -68,8 +83,7 @@ def threshold_rank(df: DataFrame, by: str = "criterion", x: str = "x") -> DataFr
     r = _ranks(df, by, x).join(F.broadcast(s), by)
     mid = F.col("_below") + (F.col("_n") - 1) / 2
     among = F.when(F.col(x) > F.col("_q"), (mid - (F.col("_all") - F.col("_signal"))) / F.col("_signal")).otherwise(0.0)
-    r = r.select(by, x, F.when(F.col("_split"), among).otherwise(mid / F.col("_all")).alias("sigma"))
-    return df.join(r, [by, x])
+    return _rejoin(df, r.withColumn("sigma", F.when(F.col("_split"), among).otherwise(mid / F.col("_all"))), by, x)
 
 
 def robust_z(df: DataFrame, by: str = "criterion", x: str = "x") -> DataFrame:
@@ -111,8 +125,7 @@ def hybrid(df: DataFrame, by: str = "criterion", x: str = "x", skew: float = 1.5
     s = df.groupBy(by).agg(F.skewness(x).alias("_skew"), F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
     r = _ranks(df, by, x).join(F.broadcast(s), by)
     z = F.when(F.col("_s") < TINY, 0.0).otherwise(F.try_divide(F.col(x) - F.col("_m"), F.col("_s")))
-    r = r.select(by, x, F.when(F.abs("_skew") > skew, z).otherwise((F.col("_below") + (F.col("_n") - 1) / 2) / F.col("_all")).alias("sigma"))
-    return df.join(r, [by, x])
+    return _rejoin(df, r.withColumn("sigma", F.when(F.abs("_skew") > skew, z).otherwise((F.col("_below") + (F.col("_n") - 1) / 2) / F.col("_all"))), by, x)
 
 
 NORMALIZERS: dict[str, Callable[..., DataFrame]] = {

@@ -94,3 +94,60 @@ def test_best_fit(spark):
         rows[r["row"]] = rows.get(r["row"], 0) + r["used"]
     assert all(v <= 16 for v in rows.values())
     assert packing.best_fit(df.where("false"), "id", "n", 1, 15).collect() == []
+
+
+def test_best_fit_streams_as_a_reader(spark):
+    """Against the plain rule, with more documents than a batch holds and several readers."""
+    import random
+
+    r = random.Random(5)
+    data = [(i, r.choice([None, -3, *range(60)])) for i in range(3000)]
+    got = {x["id"]: (x["reader"], x["row"], x["used"]) for x in packing.best_fit(spark.createDataFrame(data, "id long, n long").repartition(5), "id", "n", 3, 40, buffer=8).collect()}
+    want = {}
+    for reader in range(3):
+        docs = [(i, max(n or 0, 0) + 1) for i, n in data if i % 3 == reader]
+        held, row, room = [], 0, 41
+        while docs or held:
+            while docs and len(held) < 8:
+                held.append(docs.pop(0))
+            fits = [d for d in held if d[1] <= room]
+            d = max(fits, key=lambda d: (d[1], -d[0])) if fits else min(held, key=lambda d: (d[1], d[0]))
+            held.remove(d)
+            want[d[0]] = (reader, row, min(d[1], room))
+            room -= min(d[1], room)
+            if room == 0:
+                row, room = row + 1, 41
+    assert got == want
+
+
+def test_reports_refuse_to_cut(spark):
+    from corpusmix.sources import writers
+
+    assert writers.summary_json(spark.range(2)).count("id") == 2
+    for f in (writers.summary_json, lambda df: writers.report("t", {"x": df})):
+        with pytest.raises(ValueError):
+            f(spark.range(writers.SMALL + 1))
+
+
+def test_tsv_and_input_key(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("text\tdomain\none, two\t3\n")
+    (tmp_path / "b.jsonl").write_text('{"input": "x y"}\n')
+    assert [(r["text"], r["domain"]) for r in readers.read(spark, f"{tmp_path}/a.tsv").collect()] == [("one, two", 3)]
+    assert [r["text"] for r in readers.read(spark, f"{tmp_path}/b.jsonl").collect()] == ["x y"]
+
+
+def test_doctored_index_is_found_out(spark):
+    counted = spark.createDataFrame([(0, 5), (1, 6), (2, 7)], "shard_idx long, num_docs long")
+    stored = spark.createDataFrame([(0, 5, 1.0), (1, 9, 1.0), (1, 6, 0.5), (3, 1, None), (3, 2, None)], "shard_idx long, num_docs long, elapsed_seconds double")
+    got = {tuple(r) for r in shards.disagreements(counted, stored).select("shard_idx", "counted", "stored").collect()}
+    assert got == {(1, 6, 9), (2, 7, None), (3, None, 2)}
+    assert [r["shard_idx"] for r in shards.pending(counted, stored).collect()] == [2]
+
+
+def test_logs_with_blanks_in_tasks(spark):
+    from corpusmix.sources import logs
+
+    text = "Evaluating: hella swag (10-shot, x)... accuracy: 0.51 | centered: -0.2 | time: 3.5s\nStep 00007 | CORE metric: 0.25\nTotal training time: 12.5m"
+    df = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    assert [tuple(r) for r in logs.eval_log(df, "doc_id", "text").collect()] == [(1, "hella swag", 0.51, -0.2, 3.5)]
+    assert [tuple(r) for r in logs.run_log(df, "doc_id", "text").collect()] == [(1, 0.25, 7, 12.5)]
