@@ -684,7 +684,9 @@ def accuracy(weights: dict[str, float], texts: list[tuple[str, list[tuple[int, i
     models: dict[int, Model] = {}
     hit, got, want = defaultdict(int), defaultdict(int), defaultdict(int)
     for text, spans, lexicon in texts:
-        model = models.setdefault(id(lexicon), Model(weights, lexicon))
+        if id(lexicon) not in models:
+            models[id(lexicon)] = Model(weights, lexicon)
+        model = models[id(lexicon)]
         out = {(s.start, s.end, s.kind) for s in model.read(text)}
         for x in out:
             got[x[2]] += 1
