@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: What str.isspace() holds for white space, as a class of both regex dialects.
-SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: What str.isspace() holds for white space.
+BLANKS = (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
 def doc_id(text: str | Column = "text") -> Column:
@@ -34,21 +34,28 @@ def tokens_by_chars(chars: Column, floor: bool = True) -> Column:
     return F.greatest(F.lit(1).cast("long"), n) if floor else n
 
 
-@F.pandas_udf(DoubleType())
-def _top_share(texts: pd.Series) -> pd.Series:
-    """The share of the most frequent character; counting characters has no built-in that doesn't explode them.
+def _top_share(least: int):
+    """The share of the most frequent character other than white space, 0 for fewer than `least` of those; counting characters
+    has no built-in that doesn't explode them. A text's code points are counted as one array."""
+    blanks = np.array(BLANKS)
 
-    All texts of a batch are one array of code points, sorted by (text, code point) in one go.
-    """
-    given = texts.fillna("")
-    n = given.str.len().to_numpy(dtype=np.int64)
-    codes = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = np.zeros(len(n))
-    if len(codes):
-        key = np.sort(np.repeat(np.arange(len(n), dtype=np.int64) << 21, n) | codes)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        np.maximum.at(out, key[starts] >> 21, np.diff(np.r_[starts, len(key)]))
-    return pd.Series(out / np.maximum(n, 1))
+    @F.pandas_udf(DoubleType())
+    def top(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> float:
+            if not t:
+                return 0.0
+            codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            if codes.max() < 1 << 14:  # counters up to the highest code point
+                n = np.bincount(codes, minlength=1 << 14)
+                n[blanks] = 0
+            else:
+                n = np.unique(codes[~np.isin(codes, blanks)], return_counts=True)[1]
+            total = int(n.sum())
+            return float(n.max()) / total if total >= max(1, least) else 0.0
+
+        return texts.map(one)
+
+    return top
 
 
 def repetitive(text: str = "text", share: float = 0.3, least: int = 1000) -> Column:
@@ -56,9 +63,8 @@ def repetitive(text: str = "text", share: float = 0.3, least: int = 1000) -> Col
 
     Shorter texts, decided without Python, and null ones aren't repetitive.
     """
-    dense = F.regexp_replace(F.col(text), SPACE, "")
-    long = (F.coalesce(F.length(text), F.lit(0)) >= least) & (F.length(dense) >= least)
-    return F.coalesce(F.when(long, _top_share(F.when(long, dense)) > share).otherwise(F.lit(False)), F.lit(False))
+    long = F.coalesce(F.length(text), F.lit(0)) >= least
+    return F.coalesce(F.when(long, _top_share(least)(F.when(long, F.col(text))) > share).otherwise(F.lit(False)), F.lit(False))
 
 
 def hygiene(text: str = "text", max_chars: int = 1_000_000, share: float = 0.3) -> Column:
