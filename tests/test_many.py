@@ -67,3 +67,24 @@ def test_fallback_of_experiments_without_a_record(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(select, "select_many", lambda *a, **k: many(*a, **k).where("experiment_id > 0"))
     rows = catalog.QUERIES["selection_with_fallback"](spark, sf_dir).where("experiment_id = 0").collect()
     assert len(rows) == 100 and {r["copies"] for r in rows} == {1}
+
+
+def test_budget_draws_once(spark, sf_dir, drawn):
+    every = catalog.QUERIES["multi_theta_selection"](spark, sf_dir).count()
+    before = drawn.value
+    assert catalog.QUERIES["experiment_budget"](spark, sf_dir).count() > 0
+    assert drawn.value - before == every
+
+
+@pytest.mark.parametrize("guess", [True, False])
+def test_copies_kept_are_those_of_lowest_hash(spark, monkeypatch, guess):
+    """Groups within the budget, of many and of few tokens a row; also where no row is below the hash that was to do."""
+    data = [(e, i * e % 9973, 1 + i % t, 1 + i % 3) for e, n, t in ((1, 50, 3), (2, 3000, 1), (3, 3000, 90), (4, 120, 400)) for i in range(n)]
+    rows = spark.createDataFrame(data, "experiment_id long, row_id long, tokens long, copies int")
+    if not guess:
+        monkeypatch.setattr(select, "TWO_32", 1.0)
+    got = {(r[0], r[1]): r[2] for r in select.subsample_copies(rows, 1000).collect()}
+    each = select.subsample(select.repeat(rows.withColumn("_e", F.col("experiment_id"))), 1000, 0, ("experiment_id",))
+    want = {(r[0], r[1]): r[2] for r in each.groupBy("experiment_id", "row_id").count().collect()}
+    assert {e: sum(c for (x, _), c in got.items() if x == e) for e in range(1, 5)} == {1: 99, 2: 1200, 3: 100, 4: 100}
+    assert {k for k in got if k[0] != 4} and got == want
