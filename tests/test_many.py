@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from corpusmix.functions.rng import first_words, tail_words
 from corpusmix.operators import params, select
-from corpusmix.plans import catalog
+from corpusmix.plans import catalog, experiments
 
 
 @pytest.fixture
 def drawn(spark, monkeypatch):
-    """An accumulator of the rows that selections of many sets give, over all the times they are made."""
+    """How often a query has made the selections of six sets."""
+    scored = spark.createDataFrame([(i, i % 3, 1 + i % 7, *[(i * k % 101) / 100 for k in (3, 5, 7, 2, 9)]) for i in range(600)], "row_id long, domain long, tokens long, s0 double, s1 double, s2 double, s3 double, s4 double")
+    theta = params.draw(spark, 6, 1, 3).withColumn("epsilon", F.lit(0.3))
+    every = select.select_many(scored, theta).count()
+    monkeypatch.setattr(experiments, "scored", lambda spark, d: scored)
+    monkeypatch.setattr(experiments, "theta", lambda spark, d: theta)
     rows, many = spark.sparkContext.accumulator(0), select.select_many
 
     def counted(*a, **k):
@@ -25,7 +30,7 @@ def drawn(spark, monkeypatch):
         return out.mapInArrow(run, out.schema)
 
     monkeypatch.setattr(select, "select_many", counted)
-    return rows
+    return lambda: rows.value / every
 
 
 def test_first_words_are_those_of_md5():
@@ -58,8 +63,8 @@ def test_any_curve_and_any_keys(spark):
 
 
 def test_fallback_draws_once(spark, sf_dir, drawn):
-    rows = catalog.QUERIES["selection_with_fallback"](spark, sf_dir).collect()
-    assert 0 < drawn.value <= len(rows)
+    assert len(catalog.QUERIES["selection_with_fallback"](spark, sf_dir).collect()) > 600
+    assert drawn() == 1
 
 
 def test_fallback_of_experiments_without_a_record(spark, sf_dir, monkeypatch):
@@ -70,10 +75,8 @@ def test_fallback_of_experiments_without_a_record(spark, sf_dir, monkeypatch):
 
 
 def test_budget_draws_once(spark, sf_dir, drawn):
-    every = catalog.QUERIES["multi_theta_selection"](spark, sf_dir).count()
-    before = drawn.value
-    assert catalog.QUERIES["experiment_budget"](spark, sf_dir).count() > 0
-    assert drawn.value - before == every
+    assert len(catalog.QUERIES["experiment_budget"](spark, sf_dir).collect()) > 600
+    assert drawn() == 1
 
 
 @pytest.mark.parametrize("guess", [True, False])
@@ -88,3 +91,8 @@ def test_copies_kept_are_those_of_lowest_hash(spark, monkeypatch, guess):
     want = {(r[0], r[1]): r[2] for r in each.groupBy("experiment_id", "row_id").count().collect()}
     assert {e: sum(c for (x, _), c in got.items() if x == e) for e in range(1, 5)} == {1: 99, 2: 1200, 3: 100, 4: 100}
     assert {k for k in got if k[0] != 4} and got == want
+
+
+def test_components_draw_once(spark, sf_dir, drawn):
+    assert len(catalog.QUERIES["mix_components"](spark, sf_dir).collect()) == 66
+    assert drawn() == 1
